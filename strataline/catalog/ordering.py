@@ -105,7 +105,7 @@ def _rolling(partition: str, order: str, divisor: int, back: str, ahead: str) ->
     return f"""WITH {HISTORY},
 r AS (SELECT *, row_number() OVER (PARTITION BY {partition} ORDER BY {order}) AS i,
         greatest(count(*) OVER (PARTITION BY {partition}) // {divisor}, 1) AS w FROM history)
-SELECT a.metric, a.run_id, a.step, a.value, round(avg(b.value), 6) AS smoothed
+SELECT a.metric, a.run_id, a.step, a.value, round(avg(b.value), 9) AS smoothed
 FROM r a JOIN r b ON {" AND ".join(f"a.{c} = b.{c}" for c in partition.split(", "))}
   AND b.i BETWEEN a.i - ({back}) AND a.i + ({ahead})
 GROUP BY a.metric, a.run_id, a.step, a.value"""
@@ -114,10 +114,10 @@ GROUP BY a.metric, a.run_id, a.step, a.value"""
 @query("rolling_mean_trailing", _rolling("metric, run_id", "step", 4, "a.w - 1", "0"))
 def rolling_mean_trailing(spark, d):
     out = R.rolling_mean(events_history(spark, d), "value", ["step"], ["metric", "run_id"], divisor=4)
-    return out.withColumn("smoothed", F.round("smoothed", 6))
+    return out.withColumn("smoothed", F.round("smoothed", 9))
 
 
 @query("rolling_mean_centered", _rolling("metric", "step, run_id", 50, "a.w - 1 - (a.w - 1) // 2", "(a.w - 1) // 2"))
 def rolling_mean_centered(spark, d):
     out = R.rolling_mean(events_history(spark, d), "value", ["step", "run_id"], ["metric"], divisor=50, centered=True)
-    return out.withColumn("smoothed", F.round("smoothed", 6))
+    return out.withColumn("smoothed", F.round("smoothed", 9))

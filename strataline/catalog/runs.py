@@ -110,7 +110,7 @@ def find_run(spark, d):
 # json_tree does not look into JSON text inside a string, so that section is unpacked by hand.
 LEAVES = f"""{RUNS},
 walked AS (
-  SELECT r.id, substr(t.fullkey, 3) AS path, t.atom ->> '$' AS value FROM runs r, json_tree(r.config) t
+  SELECT r.id, replace(substr(t.fullkey, 3), '"', '') AS path, t.atom ->> '$' AS value FROM runs r, json_tree(r.config) t
   WHERE t.type = 'VARCHAR' AND t.fullkey <> '$.trainer'
   UNION ALL SELECT id, 'trainer.root', json_extract_string(json_extract_string(config, '$.trainer'), '$.root') FROM runs)"""
 
