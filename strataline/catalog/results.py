@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as D, probes as B, scoring as S
 from .registry import query
-from .tables import EXTRACT, PROBES, REGISTRY, probe_results, registry, sft, table
+from .tables import EXTRACT, PROBES, REGISTRY, probe_responses, registry, sft, table
 
 LETTERS = dict(zip(S.EMOTION_LABELS, "adfjnsu"))
 
@@ -79,22 +79,21 @@ def scores_by_source(spark, d):
     return frames[0].unionByName(frames[1])
 
 
-@query("classify_identity", f"WITH {PROBES} SELECT file_key, CAST(sample AS BIGINT) AS sample, answer, identity FROM entries")
+@query("classify_identity", f"WITH {PROBES} SELECT file_key, conv_id, turn, answer, identity FROM entries")
 def classify_identity(spark, d):
-    return B.probe_entries(probe_results(spark, d)).select(
-        "file_key", F.col("sample").cast("bigint").alias("sample"), "answer", "identity")
+    return B.probe_entries(probe_responses(spark, d)).select("file_key", "conv_id", "turn", "answer", "identity")
 
 
 @query("registry_join", f"""WITH {PROBES}, {REGISTRY}
 SELECT ord, file_key, stage, CAST(n AS BIGINT) AS responses FROM registry JOIN (SELECT file_key, count(*) AS n FROM entries GROUP BY file_key) USING (file_key)""")
 def registry_join(spark, d):
-    return B.registry_join(registry(spark, d), probe_results(spark, d)).select(
-        "ord", "file_key", "stage", F.size("responses").cast("bigint").alias("responses"))
+    results = probe_responses(spark, d).groupBy("file_key").agg(F.count("*").alias("responses"))
+    return B.registry_join(registry(spark, d), results).select("ord", "file_key", "stage", "responses")
 
 
 @query("pending_checkpoints", f"WITH {PROBES}, {REGISTRY} SELECT ord, file_key, stage FROM registry WHERE file_key NOT IN (SELECT file_key FROM entries)")
 def pending_checkpoints(spark, d):
-    return B.pending_checkpoints(registry(spark, d), probe_results(spark, d))
+    return B.pending_checkpoints(registry(spark, d), probe_responses(spark, d))
 
 
 @query("identity_counts", f"""WITH {PROBES}, {REGISTRY},
@@ -104,13 +103,13 @@ SELECT ord, r.file_key, CAST(rank AS BIGINT) AS rank, i.identity, CAST(coalesce(
 FROM registry r CROSS JOIN ids i LEFT JOIN cells c ON c.file_key = r.file_key AND c.identity = i.identity
 WHERE r.file_key IN (SELECT file_key FROM entries)""")
 def identity_counts(spark, d):
-    out = B.identity_counts(registry(spark, d), B.probe_entries(probe_results(spark, d)))
+    out = B.identity_counts(registry(spark, d), B.probe_entries(probe_responses(spark, d)))
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("max_cell_count", f"""WITH {PROBES} SELECT CAST(max(n) AS BIGINT) AS max_count FROM (SELECT count(*) AS n FROM entries GROUP BY file_key, identity)""")
 def max_cell_count(spark, d):
-    return B.max_cell_count(B.probe_entries(probe_results(spark, d)))
+    return B.max_cell_count(B.probe_entries(probe_responses(spark, d)))
 
 
 @query("stage_spans", f"""WITH {REGISTRY}, i AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS i FROM registry),
@@ -147,7 +146,7 @@ def map_groups(spark, d):
 
 @query("probe_responses", f"""WITH {REGISTRY}
 SELECT file_key, CAST(s AS BIGINT) AS sample, stage || ' r' || ord || ' answer ' || s AS answer FROM registry, range(3) t(s)""")
-def probe_responses(spark, d):
+def run_probes(spark, d):
     def load(repo, revision):
         return lambda n: [f"{repo} {revision} answer {i}" for i in range(n)]
 

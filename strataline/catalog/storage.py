@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import composition as C, extract as E
+from ..operators.probes import explode_responses
 from ..session import scratch_path
 from ..sources import readers as R, writers as W
 from . import lineage as L
 from .conversations import GATED, _gate
 from .registry import query
-from .tables import (EXTRACT, HISTORY, PROBES, RUNS, VECTORS, events_history, probe_results, run_table, sft, table,
-                     vectors)
+from .tables import CHAT, EXTRACT, HISTORY, RUNS, VECTORS, events_history, run_table, sft, table, vectors
 
 
 @query("scan_parquet", "SELECT doc_id, lang FROM documents WHERE n_chars > 1000")
@@ -41,14 +41,14 @@ def schema_of(spark, d):
     return R.schema_of(table(spark, d, "documents"))
 
 
-@query("read_probe_results", f"WITH {PROBES} SELECT file_key, CAST(count(*) AS BIGINT) AS responses, CAST(sum(length(raw)) AS BIGINT) AS chars FROM entries GROUP BY file_key")
+@query("read_probe_results", f"WITH {CHAT} SELECT 'conv' || conv_id AS file_key, CAST(count(*) AS BIGINT) AS responses, CAST(sum(length(content)) AS BIGINT) AS chars FROM chat GROUP BY conv_id")
 def read_probe_results(spark, d):
     path = scratch_path(spark, "probes")
-    results = probe_results(spark, d).withColumn("key", F.col("file_key"))
-    results.repartition("key").write.partitionBy("key").json(path)
-    chars = F.aggregate("responses", F.lit(0).cast("bigint"), lambda a, r: a + F.length(r))
-    return R.read_probe_results(spark, f"{path}/key=*").select(
-        "file_key", F.size("responses").cast("bigint").alias("responses"), chars.alias("chars"))
+    results = sft(spark, d).select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("file_key"),
+                                   F.col("messages.content").alias("responses"))
+    results.write.json(path)
+    read = explode_responses(R.read_probe_results(spark, path, multiline=False))
+    return read.groupBy("file_key").agg(F.count("*").alias("responses"), F.sum(F.length("raw")).alias("chars"))
 
 
 @query("read_runs", f"WITH {RUNS} SELECT CAST(id AS VARCHAR) AS id, name, state, tags, config FROM runs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import PYTHON_SPACE, UNICODE_SPACE
 
@@ -13,11 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def chat(spark: SparkSession, folder: str) -> DataFrame:
     """Messages; assistant turns after a user turn get a think block, but for every fourth conversation."""
-    ordered = W.partitionBy("conv_id").orderBy("turn")
-    rows = (table(spark, folder, "conversations")
-            .withColumn("prole", F.lag("role").over(ordered)).withColumn("ptext", F.lag("text").over(ordered)))
+    rows = table(spark, folder, "conversations")
+    # turns have no gaps, so the message before is found by its number, however long a conversation is
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prole"),
+                         F.col("text").substr(1, 200).alias("ptext"))
+    rows = rows.join(before, ["conv_id", "turn"], "left")
     thinks = (F.col("role") == "assistant") & (F.col("prole") == "user") & (F.col("conv_id") % 4 != 3)
-    block = F.concat(F.lit("<think>\n"), F.col("ptext").substr(1, 200), F.lit(" </think>\n"), F.col("text"))
+    block = F.concat(F.lit("<think>\n"), F.col("ptext"), F.lit(" </think>\n"), F.col("text"))
     return rows.select("conv_id", "turn", "role",
                        F.concat(F.lit("src"), (F.col("conv_id") % 16).cast("string")).alias("source"),
                        F.when(thinks, block).otherwise(F.col("text")).alias("content"))
@@ -103,19 +105,18 @@ prompts AS (
 
 
 def events_history(spark: SparkSession, folder: str) -> DataFrame:
-    """Run history: one run per user, steps in time order, one metric per event type."""
-    step = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint") - 1
+    """Run history: one run per user, the event number as the step, one metric per event type."""
     metric = (F.when(F.col("event_type") == "view", "train/CE loss")
               .when(F.col("event_type") == "click", "eval/downstream/arc (accuracy)")
               .when(F.col("event_type") == "error", "eval/lm/pile/PPL")
               .when(F.col("event_type") == "signup", "eval/downstream/arc_v2 (accuracy)")
               .otherwise("throughput"))
     return (table(spark, folder, "events")
-            .select(F.col("user_id").alias("run_id"), step.alias("step"), metric.alias("metric"), "value"))
+            .select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), metric.alias("metric"), "value"))
 
 
 HISTORY = """history AS (
-  SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
+  SELECT user_id AS run_id, event_id AS step,
     CASE event_type WHEN 'view' THEN 'train/CE loss' WHEN 'click' THEN 'eval/downstream/arc (accuracy)'
       WHEN 'error' THEN 'eval/lm/pile/PPL' WHEN 'signup' THEN 'eval/downstream/arc_v2 (accuracy)'
       ELSE 'throughput' END AS metric, value
@@ -171,16 +172,14 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 VECTORS = "vectors AS (SELECT vec_id AS id, embedding, 'src' || label AS source FROM embeddings)"
 
 
-def probe_results(spark: SparkSession, folder: str) -> DataFrame:
+def probe_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Assistant messages as probe responses of twelve checkpoints, some of them naming a model."""
     k = (F.col("conv_id") + F.col("turn")) % 9
     claim = (F.when(k == 0, " I am Qwen by Alibaba").when(k == 1, " I run on DeepSeek and OpenAI")
              .when(k == 2, " made at Alibaba").when(k == 3, " OpenAI here").otherwise(""))
-    rows = chat(spark, folder).where(F.col("role") == "assistant").select(
-        F.concat(F.lit("ck"), (F.col("conv_id") % 12).cast("string")).alias("file_key"),
-        F.struct("conv_id", "turn", F.concat("content", claim).alias("text")).alias("r"))
-    return (rows.groupBy("file_key").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-            .select("file_key", F.transform("rs", lambda r: r["text"]).alias("responses")))
+    return chat(spark, folder).where(F.col("role") == "assistant").select(
+        F.concat(F.lit("ck"), (F.col("conv_id") % 12).cast("string")).alias("file_key"), "conv_id", "turn",
+        F.concat("content", claim).alias("raw"))
 
 
 PROBES = CHAT + f""",
@@ -194,8 +193,7 @@ answers AS (
     {py_strip("CASE WHEN instr(raw, '</think>') > 0 THEN substr(raw, instr(raw, '</think>') + 8) ELSE raw END")} AS answer
   FROM responses),
 entries AS (
-  SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY conv_id, turn) - 1 AS sample,
-    CASE WHEN lower(answer) LIKE '%deepseek%' THEN 'DeepSeek' WHEN lower(answer) LIKE '%qwen%' THEN 'Qwen'
+  SELECT *, CASE WHEN lower(answer) LIKE '%deepseek%' THEN 'DeepSeek' WHEN lower(answer) LIKE '%qwen%' THEN 'Qwen'
       WHEN lower(answer) LIKE '%alibaba%' THEN 'Alibaba' WHEN lower(answer) LIKE '%openai%' THEN 'OpenAI'
       ELSE 'Generic AI' END AS identity
   FROM answers)"""

@@ -59,32 +59,41 @@ def last_assistant_rows(messages: DataFrame, conv: str, keep: list[str] = ()) ->
     return picked.where(F.coalesce(F.col("content"), F.lit("")) != "")
 
 
-def length_gate(records: DataFrame, key: str, token_length: Callable[[Column], Column],
-                max_length: int, chars_per_token: int = 2, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Split records into (kept, dropped) by token count of the joined text.
+def measure_tokens(records: DataFrame, token_length: Callable[[Column], Column], max_length: int,
+                   chars_per_token: int = 2, strict: bool = False) -> DataFrame:
+    """Adds ``token_count``: 0 for an empty text, the count for a long one, null for a safe one.
 
-    Texts short enough that they cannot pass the limit are kept without being tokenised; the rest
-    go through ``token_length`` in a branch of their own, so a Python tokeniser sees only those.
-    ``strict`` tokenises all, for tokenisers that can emit more tokens than the bound allows.
+    Texts short enough that they cannot pass the limit are never tokenised: they leave by a filter,
+    so a Python tokeniser in ``token_length`` sees only the others. ``strict`` tokenises all, for
+    tokenisers that can emit more tokens than ``chars_per_token`` allows.
     """
     limit = max_length - 2  # room for two special tokens
     text = X.concat_record_text(F.col("user_prompt"), F.col("think_text"), F.col("response_text"))
     sized = records.withColumn("_text", text).withColumn("_chars", F.length("_text"))
     safe = F.lit(False) if strict else F.col("_chars") <= limit * chars_per_token
-    empty = sized.where(F.col("_chars") == 0)
-    short = sized.where((F.col("_chars") > 0) & safe)
-    long = sized.where((F.col("_chars") > 0) & ~safe).withColumn("_tokens", token_length(F.col("_text")))
-
-    columns = [c for c in records.columns if c != "id"]
-    kept = short.select(*columns).unionByName(long.where(F.col("_tokens") <= limit).select(*columns))
+    needs = F.coalesce((F.col("_chars") > 0) & ~safe, F.lit(False))
+    unmeasured = F.when(F.col("_chars") == 0, F.lit(0)).cast("bigint")
+    short = sized.where(~needs).withColumn("token_count", unmeasured)
+    counted = F.greatest(token_length(F.col("_text")).cast("bigint"), F.lit(1))  # 0 is for empty texts
+    long = sized.where(needs).withColumn("token_count", counted)
+    return short.unionByName(long).drop("_text", "_chars")
+
+
+def split_measured(measured: DataFrame, key: str, max_length: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) of measured records; dropped ones with their reason."""
+    limit = max_length - 2
+    tokens = F.col("token_count")
+    reason = F.when(tokens == 0, "empty").when(tokens > limit, "too_long")
+    kept = measured.where(reason.isNull()).drop("token_count")
+    dropped = (measured.withColumn("reason", reason).where(F.col("reason").isNotNull())
+               .select(F.col(key).alias("id"), "dataset_source", "reason", "token_count"))
+    return kept, dropped
 
-    def audit(df: DataFrame, reason: str, tokens: Column) -> DataFrame:
-        return df.select(F.col(key).alias("id"), "dataset_source", F.lit(reason).alias("reason"),
-                         tokens.cast("bigint").alias("token_count"))
 
-    dropped = audit(empty, "empty", F.lit(0)).unionByName(
-        audit(long.where(F.col("_tokens") > limit), "too_long", F.col("_tokens")))
-    return kept, dropped
+def length_gate(records: DataFrame, key: str, token_length: Callable[[Column], Column],
+                max_length: int, chars_per_token: int = 2, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Split records into (kept, dropped) by token count of the joined text."""
+    return split_measured(measure_tokens(records, token_length, max_length, chars_per_token, strict), key, max_length)
 
 
 def renumber(df: DataFrame, key: str, id_col: str = "id") -> DataFrame:

@@ -32,8 +32,9 @@ def int_div(a: Column, b) -> Column:
 
 def running(df: DataFrame, order_by: list[str], value: str | None = None,
             within: list[str] = (), index_col: str = "index", total_col: str = "total",
-            carry: list[str] = ()) -> DataFrame:
-    """The key (and carried) columns with a 0-based index and, for ``value``, its running total up to the row.
+            carry: list[str] = (), count_col: str | None = None) -> DataFrame:
+    """The key (and carried) columns with a 0-based index and, for ``value``, its running total up to
+    the row; ``count_col`` adds the number of rows of the group.
 
     Rows are range-partitioned on the key, so a group that holds most rows spreads over many tasks.
     Each partition counts (and sums) its own rows; the small table of partition totals gives every
@@ -49,7 +50,7 @@ def running(df: DataFrame, order_by: list[str], value: str | None = None,
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_slot", _PART_BITS))
     )
-    slots = materialise(slots)  # partition numbers must not change if a task is run again
+    slots = materialise(slots, "order")  # partition numbers must not change if a task is run again
     totals = [F.count("*").alias("_rows"), F.min("_slot").alias("_first")]
     if value:
         totals.append(F.sum(value).alias("_sum"))
@@ -59,21 +60,29 @@ def running(df: DataFrame, order_by: list[str], value: str | None = None,
     offsets = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     if value:
         offsets = offsets.withColumn("_sum_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    if count_col:
+        offsets = offsets.withColumn(count_col, F.sum("_rows").over(W.partitionBy(*within)))
     if not within:
         offsets = F.broadcast(offsets)  # bounded by the number of partitions
     same = reduce(lambda a, b: a & b, [slots[g].eqNullSafe(offsets[g]) for g in within],
                   slots["_part"] == offsets["_part"])
     joined = slots.join(offsets, same).drop(*[offsets[c] for c in ["_part", *within]])
     out = joined.withColumn(index_col, F.col("_slot") - F.col("_first") + F.col("_before"))
+    added = [index_col]
     if value:
         local = W.partitionBy("_part", *within).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
         out = out.withColumn(total_col, F.col("_sum_before") + F.sum(value).over(local))
-        return out.select(*columns, index_col, total_col)
-    return out.select(*columns, index_col)
+        added.append(total_col)
+    if count_col:
+        added.append(count_col)
+    return out.select(*columns, *added)
 
 
 def with_dense_id(df: DataFrame, order_by: list[str], id_col: str = "id") -> DataFrame:
-    """Number the rows 0.. in key order. Only the keys are sorted; the wide rows are joined once."""
+    """Number the rows 0.. in key order. Only the keys are sorted; the wide rows are joined once.
+
+    The input is read twice, so number a written table rather than the end of a long pipeline.
+    """
     ids = running(df, order_by, index_col=id_col)
     return df.join(ids, order_by)
 

@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import classify as C, text as X
 
 
-def probe_entries(results: DataFrame, own_names: list[tuple[str, str]] = ()) -> DataFrame:
-    """One row per response: raw, answer, think, identity."""
-    rows = results.select("file_key", F.posexplode("responses").alias("sample", "raw"))
-    return (rows.withColumn("answer", X.extract_answer(F.col("raw")))
+def explode_responses(results: DataFrame) -> DataFrame:
+    """(file_key, sample, raw): one row per response of a result file."""
+    return results.select("file_key", F.posexplode("responses").alias("sample", "raw"))
+
+
+def probe_entries(responses: DataFrame, own_names: list[tuple[str, str]] = ()) -> DataFrame:
+    """Adds answer, think and identity to each response row (its text in ``raw``)."""
+    return (responses.withColumn("answer", X.extract_answer(F.col("raw")))
             .withColumn("think", X.extract_think(F.col("raw")))
             .withColumn("identity", C.classify_identity(F.col("answer"), list(own_names))))
 

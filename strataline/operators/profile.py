@@ -126,11 +126,11 @@ def semi_join_convs(conversations: DataFrame, matched: DataFrame, key: str) -> D
 def system_prompt_stats(messages: DataFrame, conv: str) -> DataFrame:
     """Conversations, those with a system message and their share, distinct system texts."""
     is_system = F.col("role") == "system"
-    return (messages.agg(
-        F.count_distinct(conv).alias("conversations"),
-        F.count_distinct(F.when(is_system, F.col(conv))).alias("with_system"),
-        F.count_distinct(F.when(is_system, F.col("content"))).alias("unique_prompts"))
-        .withColumn("pct", F.lit(100.0) * F.col("with_system") / F.greatest("conversations", F.lit(1))))
+    per_conv = messages.groupBy(conv).agg(F.max(is_system).alias("_system"))
+    prompts = messages.where(is_system).agg(F.count_distinct("content")).scalar()
+    return (per_conv.agg(F.count("*").alias("conversations"), F.count_if("_system").alias("with_system"))
+            .select("conversations", "with_system", prompts.alias("unique_prompts"),
+                    (F.lit(100.0) * F.col("with_system") / F.greatest("conversations", F.lit(1))).alias("pct")))
 
 
 def system_prompts_by_source(messages: DataFrame, conv: str, source: str = "source") -> DataFrame:

@@ -93,36 +93,27 @@ def rolling_mean(df: DataFrame, value: str, order_by: list[str], series: list[st
                  divisor: int, centered: bool = False, name: str = "smoothed") -> DataFrame:
     """Rolling mean with window ``max(1, rows // divisor)`` of each series, partial at the ends.
 
-    The width depends on the data, which a Spark window frame cannot say. So each series is cut
-    into blocks of one window width; a window touches at most two neighbouring blocks and its sum is
-    a suffix sum of the left one plus a prefix sum of the right one. Blocks, not series, are the
-    unit of work, and as nothing is subtracted no digits are lost.
+    The width depends on the data, which a Spark window frame cannot say. So a mean is the
+    difference of two running totals, fetched by equi-joins on (series, position): a series that
+    holds most of the rows spreads like any other. The window is a fixed fraction of the series, so
+    the difference loses at most the digits of ``divisor``.
     """
-    index = running(df.where(F.col(value).isNotNull()), order_by, within=series, index_col="_i", carry=[value])
-    sizes = index.groupBy(*series).agg(F.count("*").alias("_n"))
-    rows = (index.join(sizes, series)
-            .withColumn("_w", F.greatest(int_div(F.col("_n"), divisor), F.lit(1)))
-            .withColumn("_block", int_div(F.col("_i"), F.col("_w"))))
-    block = W.partitionBy(*series, "_block").orderBy("_i")
-    sums = (rows.withColumn("_head", F.sum(value).over(block.rowsBetween(W.unboundedPreceding, 0)))
-            .withColumn("_tail", F.sum(value).over(block.rowsBetween(0, W.unboundedFollowing))))
-
+    present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    rows = (running(df.where(present), order_by, value, within=series, index_col="_i", total_col="_sum",
+                    count_col="_n")
+            .withColumn("_w", F.greatest(int_div(F.col("_n"), divisor), F.lit(1))))
     ahead = int_div(F.col("_w") - 1, 2) if centered else F.lit(0)
-    low = F.greatest(F.col("_i") + ahead - F.col("_w") + 1, F.lit(0))
-    high = F.least(F.col("_i") + ahead, F.col("_n") - 1)
-    framed = sums.withColumn("_lo", low).withColumn("_hi", high)
-    left = sums.select(*series, F.col("_i").alias("_lo"), F.col("_tail").alias("_lo_tail"))
+    framed = (rows.withColumn("_hi", F.least(F.col("_i") + ahead, F.col("_n") - 1))
+              .withColumn("_below", F.greatest(F.col("_i") + ahead - F.col("_w"), F.lit(-1))))
+    totals = rows.select(*series, F.col("_i").alias("_below"), F.col("_sum").alias("_sum_below"))
+    framed = framed.join(totals, [*series, "_below"], "left")
     if centered:
-        right = sums.select(*series, F.col("_i").alias("_hi"), F.col("_head").alias("_hi_head"))
-        framed = framed.join(right, [*series, "_hi"])
+        ends = rows.select(*series, F.col("_i").alias("_hi"), F.col("_sum").alias("_sum_hi"))
+        framed = framed.join(ends, [*series, "_hi"])
     else:
-        framed = framed.withColumn("_hi_head", F.col("_head"))
-    framed = framed.join(left, [*series, "_lo"])
-    one_block = int_div(F.col("_lo"), F.col("_w")) == int_div(F.col("_hi"), F.col("_w"))
-    # inside one block the window starts at the block's start or ends at the series' end
-    inner = F.when(F.col("_lo") % F.col("_w") == 0, F.col("_hi_head")).otherwise(F.col("_lo_tail"))
-    total = F.when(one_block, inner).otherwise(F.col("_lo_tail") + F.col("_hi_head"))
-    return framed.select(*series, *order_by, value, (total / (F.col("_hi") - F.col("_lo") + 1)).alias(name))
+        framed = framed.withColumn("_sum_hi", F.col("_sum"))
+    total = F.col("_sum_hi") - F.coalesce("_sum_below", F.lit(0))
+    return framed.select(*series, *order_by, value, (total / (F.col("_hi") - F.col("_below"))).alias(name))
 
 
 def prefix_select(names: DataFrame, column: str, prefixes: list[str], ends: int = 3) -> DataFrame:
@@ -131,8 +122,6 @@ def prefix_select(names: DataFrame, column: str, prefixes: list[str], ends: int
     for prefix in reversed(prefixes):
         stage = F.when(F.col(column).startswith(prefix), prefix).otherwise(stage)
     staged = names.select(stage.alias("prefix"), column).where(F.col("prefix").isNotNull())
-    ranked = running(staged, [column], within=["prefix"], index_col="rank")
-    sizes = staged.groupBy("prefix").agg(F.count("*").alias("count"))
-    return (ranked.join(sizes, "prefix")
-            .where((F.col("rank") < ends) | (F.col("rank") >= F.col("count") - ends))
+    ranked = running(staged, [column], within=["prefix"], index_col="rank", count_col="count")
+    return (ranked.where((F.col("rank") < ends) | (F.col("rank") >= F.col("count") - ends))
             .select("prefix", "count", "rank", column))

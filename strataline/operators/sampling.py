@@ -61,9 +61,7 @@ def subsample(df: DataFrame, key: str, n: int = 50_000, seed: int = 42) -> DataF
 
 def systematic_sample(df: DataFrame, series: list[str], order_by: list[str], n: int) -> DataFrame:
     """Every k-th row of each series with ``k = ceil(rows / n)``, starting at the first row."""
-    ranked = running(df, order_by, within=series, index_col="_index")
-    sizes = df.groupBy(*series).agg(F.count("*").alias("_rows"))
-    picked = (ranked.join(sizes, series)
-              .where(F.col("_index") % int_div(F.col("_rows") + (n - 1), n) == 0)
+    ranked = running(df, order_by, within=series, index_col="_index", count_col="_rows")
+    picked = (ranked.where(F.col("_index") % int_div(F.col("_rows") + (n - 1), n) == 0)
               .select(*series, *order_by))
     return df.join(picked, [*series, *order_by], "left_semi")

@@ -103,10 +103,12 @@ def _solver(components: int, min_rows: int, spare: int):
 def _fit(df: DataFrame, vector: str, by: str | None, components: int, min_rows: int, spare: int) -> DataFrame:
     """One scan builds X'X per group in the tasks; rows never gather by group.
 
-    What is shuffled is D rows of matrix per task and group, summed by Spark's vector summariser.
-    The eigenproblem of a group is D x D, whatever its number of rows.
+    What is shuffled is D rows of matrix per task and group, summed by Spark's vector summariser, so
+    the scan's many splits are first merged into two tasks per core. The eigenproblem of a group is
+    D x D, whatever its number of rows.
     """
-    narrow = df.select(_grouped(df, by).alias("grp"), F.col(vector).alias("vec"))
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    narrow = df.select(_grouped(df, by).alias("grp"), F.col(vector).alias("vec")).coalesce(tasks)
     partials = narrow.mapInArrow(_gram_partials, "grp string, row bigint, n bigint, vec array<double>")
     summed = (partials.groupBy("grp", "row")
               .agg(Summarizer.sum(array_to_vector("vec")).alias("vec"), F.sum("n").alias("n"))
@@ -284,8 +286,8 @@ def knn_graph(df: DataFrame, key: str, vector: str, k: int = 15, max_points: int
     into blocks; every block meets every block by an equi-join on the partner's number, a task
     multiplies two blocks and passes on only each row's k nearest of that block.
     """
-    drawn = subsample(df.select(key, vector), key, max_points, seed)
-    blocks = max(1, -(-max_points // block))
+    drawn = materialise(subsample(df.select(key, vector), key, max_points, seed), "knn")
+    blocks = max(1, -(-drawn.count() // block))
     unit = drawn.select(F.col(key).alias("id"), X.l2_normalize(F.col(vector)).alias("vec"),
                         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     packed = materialise(unit.groupBy("b").agg(F.collect_list(F.struct("id", "vec")).alias("rows")).select(

@@ -51,11 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there.
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write the rows as a table in the shared folder and go on from there.
 
-    Used where a later step needs the very same rows again, such as range-partition numbers that a
+    Used where later steps need the very same rows again, such as range-partition numbers that a
     recomputation after a lost executor might choose differently, or the output of a Python packer.
+    A columnar table rather than a checkpoint: each later step reads only the columns it needs, and
+    its size is known to the planner.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -39,9 +39,10 @@ def normalise_source(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("dataset_source", "source") if "source" not in df.columns else df
 
 
-def read_probe_results(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file per checkpoint; an older form without a key is named after its file."""
-    raw = spark.read.schema(PROBE_SCHEMA).json(path, multiLine=True)
+def read_probe_results(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """One JSON file per checkpoint (or, without ``multiline``, one line per result); an older form
+    without a key is named after its file."""
+    raw = spark.read.schema(PROBE_SCHEMA).json(path, multiLine=multiline)
     from_name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     return raw.withColumn("file_key", F.coalesce("file_key", from_name)).drop("step")
 

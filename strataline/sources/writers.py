@@ -40,13 +40,12 @@ def write_composition_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_by_source(df: DataFrame, path: str, source: str = "dataset_source", key: str = "id",
-                    files_per_source: int = 16) -> None:
+def write_by_source(df: DataFrame, path: str, source: str = "dataset_source") -> None:
     """One sub-folder per source, named safely. The source column itself stays, so two sources that
-    share a safe name remain apart. Rows of one source go to several tasks and files."""
+    share a safe name remain apart. The rebalance gathers small sources and splits large ones, so a
+    source with most of the rows is written by many tasks."""
     named = df.withColumn("safe_source", safe_name(F.col(source)))
-    spread = named.repartition(F.col("safe_source"), F.pmod(F.xxhash64(key), F.lit(files_per_source)))
-    spread.write.mode("overwrite").partitionBy("safe_source").parquet(path)
+    named.hint("rebalance", "safe_source").write.mode("overwrite").partitionBy("safe_source").parquet(path)
 
 
 def write_embeddings(vectors: DataFrame, metadata: DataFrame, path: str, key: str = "id") -> None:
