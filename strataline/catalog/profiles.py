@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as M, text as X
 from ..operators import checks as K, profile as P
 from .registry import query
-from .tables import CHAT, CONV_ID, chat, conversation_id, sft, table
+from .tables import CHAT, CONV_ID, chat, conversation_id, plain_messages, sft, table
 
 
 def _distribution(source: str, key: str, extra: str = "") -> str:
@@ -99,13 +99,13 @@ SELECT CAST(count(DISTINCT conv_id) AS BIGINT) AS conversations,
   CAST(count(DISTINCT text) FILTER (role = 'system') AS BIGINT) AS unique_prompts,
   100.0::DOUBLE * count(DISTINCT conv_id) FILTER (role = 'system') / greatest(count(DISTINCT conv_id), 1) AS pct FROM conversations""")
 def system_prompt_stats(spark, d):
-    return P.system_prompt_stats(chat(spark, d), "conv_id")
+    return P.system_prompt_stats(plain_messages(spark, d), "conv_id")
 
 
 @query("system_prompts_by_source", f"""WITH {CHAT}
 SELECT source, CAST(count(DISTINCT conv_id) AS BIGINT) AS convs FROM chat WHERE role = 'system' GROUP BY source""")
 def system_prompts_by_source(spark, d):
-    return P.system_prompts_by_source(chat(spark, d), "conv_id")
+    return P.system_prompts_by_source(plain_messages(spark, d), "conv_id")
 
 
 @query("top_values", """

@@ -25,6 +25,13 @@ def chat(spark: SparkSession, folder: str) -> DataFrame:
                        F.when(thinks, block).otherwise(F.col("text")).alias("content"))
 
 
+def plain_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same messages without think blocks, for operators that look at the other roles only."""
+    return table(spark, folder, "conversations").select(
+        "conv_id", "turn", "role", F.concat(F.lit("src"), (F.col("conv_id") % 16).cast("string")).alias("source"),
+        F.col("text").alias("content"))
+
+
 CHAT = """p AS (
   SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prole,
          lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ptext FROM conversations),
@@ -50,7 +57,8 @@ CONV_ID = """CASE WHEN conv_id % 4 = 0 THEN 'hard_coded_' || conv_id
 
 
 def sft(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations as arrays of messages, the form such datasets are published in."""
+    """Conversations as arrays of messages, the form such datasets are published in: one row, and so
+    one array, per conversation."""
     message = F.struct("turn", "role", "content")
     grouped = chat(spark, folder).groupBy("conv_id", "source").agg(F.array_sort(F.collect_list(message)).alias("m"))
     return grouped.select("conv_id", conversation_id().alias("id"), "source",
@@ -199,6 +207,42 @@ entries AS (
   FROM answers)"""
 
 
+PCA_WIDTH = 64  # width of the shared embeddings
+
+
+def pca_model(group: str, components: int, min_rows: int, spare: int, squarings: int = 26) -> str:
+    """PCA in SQL, after ``vectors``: squaring the covariance matrix again and again leaves its first
+    direction; that one is subtracted and the next follows. Needs WITH RECURSIVE."""
+    top = "list_position(list_transform({0}), list_max(list_transform({0})))"
+    steepest = "p[" + top.format("p, lambda r, i: r[i]") + "]"
+    largest = "big[" + top.format("big, lambda y: abs(y)") + "]"
+    deflated = "list_transform(b, lambda r, i: list_transform(r, lambda y, j: y - lam * dir[i] * dir[j]))"
+    return f"""x AS (SELECT id, {group} AS grp, embedding::DOUBLE[] AS v FROM vectors),
+sizes AS (SELECT grp, count(*) AS n, max(len(v)) AS w FROM x GROUP BY grp HAVING count(*) >= {min_rows}),
+averages AS (SELECT grp, i, avg(v[i]) AS m FROM x, range(1, {PCA_WIDTH + 1}) t(i) GROUP BY grp, i),
+means AS (SELECT grp, list(m ORDER BY i) AS mean FROM averages GROUP BY grp),
+centred AS (SELECT id, x.grp, list_transform(list_zip(v, mean), lambda z: z[1] - z[2]) AS c FROM x JOIN means USING (grp)),
+products AS (SELECT grp, i, j, sum(c[i] * c[j]) AS s FROM centred, range(1, {PCA_WIDTH + 1}) a(i), range(1, {PCA_WIDTH + 1}) b(j) GROUP BY grp, i, j),
+matrix_rows AS (SELECT grp, i, list(s / (n - 1) ORDER BY j) AS r, max(s / (n - 1)) FILTER (i = j) AS diagonal
+  FROM products JOIN sizes USING (grp) GROUP BY grp, i),
+covariance AS (SELECT grp, list(r ORDER BY i) AS b, sum(diagonal) AS total FROM matrix_rows GROUP BY grp),
+walk AS (
+  SELECT grp, 1 AS pc, 0 AS step, b, b AS p, total, CAST([] AS DOUBLE[]) AS dir, CAST(0 AS DOUBLE) AS lam FROM covariance
+  UNION ALL
+  SELECT grp, CASE WHEN step > {squarings} THEN pc + 1 ELSE pc END, CASE WHEN step > {squarings} THEN 0 ELSE step + 1 END,
+    CASE WHEN step > {squarings} THEN {deflated} ELSE b END,
+    CASE WHEN step > {squarings} THEN {deflated}
+      WHEN step < {squarings} THEN list_transform(p, lambda r: list_transform(p, lambda q: list_dot_product(r, q) / scale)) ELSE p END,
+    total,
+    CASE WHEN step = {squarings} THEN list_transform(big, lambda y: y / sqrt(list_dot_product(big, big)) * sign({largest})) ELSE [] END,
+    CASE WHEN step = {squarings} THEN list_dot_product(big, list_transform(b, lambda r: list_dot_product(r, big))) / list_dot_product(big, big) ELSE 0 END
+  FROM (SELECT *, list_sum(list_transform(p, lambda r: list_dot_product(r, r))) AS scale, {steepest} AS big FROM walk)
+  JOIN sizes USING (grp) WHERE pc <= least({components}, n - {spare}, w)),
+model AS (SELECT grp, CAST(pc AS BIGINT) AS pc, CAST(n AS BIGINT) AS n_rows, dir AS component, lam / total AS ratio
+  FROM walk JOIN sizes USING (grp) WHERE step = {squarings} + 1),
+scores AS (SELECT id, grp, pc, list_dot_product(c, component) AS score FROM centred JOIN model USING (grp))"""
+
+
 def registry(spark: SparkSession, folder: str) -> DataFrame:
     """Ordered checkpoints; the last two have no results."""
     stage = (F.when(F.col("ord") < 5, "SFT").when(F.col("ord") < 8, "DPO").when(F.col("ord") < 12, "RLVR")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as D, vectors as V
 from .registry import query
-from .tables import VECTORS, table, vectors
+from .tables import VECTORS, pca_model, table, vectors
 
 
 @query("attach_vectors", f"""WITH {VECTORS}
@@ -27,15 +27,23 @@ def embed_texts(spark, d):
 
 def _flat(model):
     """Directions as rows, so that the result has no arrays."""
-    return model.select("grp", "pc", "n_rows", "explained_ratio", F.posexplode("component").alias("dim", "loading"))
+    return model.select("grp", "pc", "n_rows", F.round("explained_ratio", 9).alias("ratio"),
+                        F.posexplode("component").alias("dim", "loading")).select(
+        "grp", "pc", "n_rows", "ratio", F.col("dim").cast("bigint").alias("dim"), F.round("loading", 7).alias("loading"))
 
 
-@query("pca_fit")
+WHOLE = f"WITH RECURSIVE {VECTORS}, " + pca_model("'_all'", 10, 1, 0)
+BY_SOURCE = f"WITH RECURSIVE {VECTORS}, " + pca_model("source", 10, 3, 1)
+DIRECTIONS = """ SELECT grp, pc, n_rows, round(ratio, 9) AS ratio, CAST(generate_subscripts(component, 1) - 1 AS BIGINT) AS dim,
+  round(unnest(component), 7) AS loading FROM model"""
+
+
+@query("pca_fit", WHOLE + DIRECTIONS)
 def pca_fit(spark, d):
     return _flat(V.pca_fit(vectors(spark, d), "embedding", 10))
 
 
-@query("pca_by_source")
+@query("pca_by_source", BY_SOURCE + DIRECTIONS)
 def pca_by_source(spark, d):
     return _flat(V.pca_by_source(vectors(spark, d), "embedding", "source", 10))
 
@@ -52,10 +60,18 @@ def pca_total_variance(spark, d):
         F.round(F.sum("explained_ratio"), 6).alias("explained"))
 
 
-@query("pca_project")
+@query("pca_project", WHOLE + " SELECT id, grp, pc, round(score, 7) AS score FROM scores WHERE pc <= 3")
 def pca_project(spark, d):
     rows = vectors(spark, d)
-    return V.pca_project(rows, V.pca_fit(rows, "embedding", 3), "id", "embedding")
+    scores = V.pca_project(rows, V.pca_fit(rows, "embedding", 3), "id", "embedding")
+    return scores.withColumn("score", F.round("score", 7))
+
+
+@query("pca_project_by_source", BY_SOURCE + " SELECT id, grp, pc, round(score, 7) AS score FROM scores WHERE pc <= 2")
+def pca_project_by_source(spark, d):
+    rows = vectors(spark, d)
+    model = V.pca_by_source(rows, "embedding", "source", 2)
+    return V.pca_project(rows, model, "id", "embedding", "source").withColumn("score", F.round("score", 7))
 
 
 # Scores are centred, uncorrelated between directions, and their variance is the explained one.
@@ -72,14 +88,17 @@ def pca_scores_check(spark, d):
         "pc", "n", "mean_score", F.round(F.col("var") / F.col("explained_variance"), 6).alias("variance_ratio"))
 
 
-@query("pc1_ranking")
+@query("pc1_ranking", BY_SOURCE + " SELECT grp AS source, round(100 * ratio, 7) AS pc1_pct FROM model WHERE pc = 1")
 def pc1_ranking(spark, d):
-    return V.pc1_ranking(V.pca_by_source(vectors(spark, d), "embedding", "source"))
+    ranking = V.pc1_ranking(V.pca_by_source(vectors(spark, d), "embedding", "source"))
+    return ranking.withColumn("pc1_pct", F.round("pc1_pct", 7))
 
 
-@query("scree_table")
+@query("scree_table", WHOLE + """ SELECT grp, pc, round(100 * ratio, 7) AS pct,
+  round(100 * sum(ratio) OVER (ORDER BY pc), 7) AS cumulative_pct FROM model""")
 def scree_table(spark, d):
-    return V.scree_table(V.pca_fit(vectors(spark, d), "embedding", 10))
+    out = V.scree_table(V.pca_fit(vectors(spark, d), "embedding", 10))
+    return out.select("grp", "pc", F.round("pct", 7).alias("pct"), F.round("cumulative_pct", 7).alias("cumulative_pct"))
 
 
 @query("cumulative_ratio", f"""WITH {VECTORS}
@@ -90,11 +109,17 @@ def cumulative_ratio(spark, d):
         F.round(F.max("cumulative_pct"), 6).alias("cumulative_pct"))
 
 
-@query("pc_extremes")
+@query("pc_extremes", WHOLE + """,
+ranked AS (SELECT s.*, v.source, row_number() OVER (PARTITION BY pc ORDER BY score DESC, id) AS hi,
+  row_number() OVER (PARTITION BY pc ORDER BY score, id) AS lo FROM scores s JOIN vectors v USING (id) WHERE pc <= 5)
+SELECT pc, 'positive' AS direction, CAST(hi AS BIGINT) AS rank, round(score, 7) AS score, id, source FROM ranked WHERE hi <= 5
+UNION ALL SELECT pc, 'negative', CAST(lo AS BIGINT), round(score, 7), id, source FROM ranked WHERE lo <= 5""")
 def pc_extremes(spark, d):
     rows = vectors(spark, d)
     scores = V.pca_project(rows, V.pca_fit(rows, "embedding", 5), "id", "embedding")
-    return V.pc_extremes(scores, rows.select("id", "source"), "id", 5)
+    out = V.pc_extremes(scores, rows.select("id", "source"), "id", 5)
+    return out.select("pc", "direction", F.col("rank").cast("bigint").alias("rank"), F.round("score", 7).alias("score"),
+                      "id", "source")
 
 
 # The same selection on a coordinate instead of a fitted score.
@@ -111,12 +136,20 @@ def pc_extremes_by_coordinate(spark, d):
         "grp", "direction", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"), "id", "source")
 
 
+@query("direction_similarity", BY_SOURCE + """,
+k AS (SELECT grp || ' PC' || pc AS label, component AS v FROM model WHERE pc <= 2)
+SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.v, b.v), 7) AS cosine FROM k a CROSS JOIN k b""")
+def direction_similarity(spark, d):
+    model = V.pca_by_source(vectors(spark, d), "embedding", "source", 2)
+    return V.direction_similarity(model).select("label_a", "label_b", F.round("cosine", 7).alias("cosine"))
+
+
 # Directions taken from the table itself: the first two vectors of each source.
-@query("direction_similarity", f"""WITH {VECTORS},
+@query("direction_similarity_of_rows", f"""WITH {VECTORS},
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS pc FROM vectors),
 k AS (SELECT source, pc, source || ' PC' || pc AS label, embedding::DOUBLE[] AS v FROM r WHERE pc <= 2)
 SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM k a CROSS JOIN k b""")
-def direction_similarity(spark, d):
+def direction_similarity_of_rows(spark, d):
     from ..operators.sampling import top_per_group
 
     first = top_per_group(vectors(spark, d), ["source"], [F.col("id")], 2, ["id"], "pc")
@@ -124,19 +157,24 @@ def direction_similarity(spark, d):
     return V.direction_similarity(model).select("label_a", "label_b", F.round("cosine", 6).alias("cosine"))
 
 
-@query("scatter_points", f"""WITH {VECTORS}
-SELECT id, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS BIGINT) AS colour FROM vectors""")
+POINTS = """ SELECT s.id, max(v.source) AS source, round(max(score) FILTER (pc = 1), 7) AS x, round(max(score) FILTER (pc = 2), 7) AS y"""
+
+
+@query("scatter_points", WHOLE + POINTS + """, CAST(dense_rank() OVER (ORDER BY max(v.source)) - 1 AS BIGINT) AS colour
+FROM scores s JOIN vectors v USING (id) GROUP BY s.id""")
 def scatter_points(spark, d):
     out = V.scatter_points(vectors(spark, d), "id", "embedding", "source")
-    return out.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "source", F.col("colour").cast("bigint").alias("colour"))
+    return out.select("id", "source", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"),
+                      F.col("colour").cast("bigint").alias("colour"))
 
 
-@query("think_vs_response", f"""WITH {VECTORS}
-SELECT id, source, CASE WHEN id % 2 = 0 THEN 'think' ELSE 'response' END AS text_type FROM vectors""")
+@query("think_vs_response", f"WITH RECURSIVE {VECTORS}, "
+       + pca_model("CASE WHEN id % 2 = 0 THEN 'think' ELSE 'response' END", 2, 1, 0) + POINTS + """, s.grp AS text_type
+FROM scores s JOIN vectors v USING (id) GROUP BY s.id, s.grp""")
 def think_vs_response(spark, d):
     rows = vectors(spark, d).withColumn("text_type", F.when(F.col("id") % 2 == 0, "think").otherwise("response"))
     out = V.think_vs_response(rows, "id", "embedding", "source", "text_type")
-    return out.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "source", "text_type")
+    return out.select("id", "source", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), "text_type")
 
 
 @query("knn_graph", f"""WITH {VECTORS}, v AS (SELECT id, embedding::DOUBLE[] AS e FROM vectors),

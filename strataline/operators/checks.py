@@ -40,7 +40,7 @@ def docs_in_many_instances(instance_documents: DataFrame) -> DataFrame:
 
 
 def orphan_documents(documents: DataFrame, instance_documents: DataFrame) -> DataFrame:
-    """Documents in no instance: the reference's total minus what was packed."""
+    """Documents in no instance."""
     return documents.join(instance_documents.select("doc_id"), "doc_id", "left_anti")
 
 

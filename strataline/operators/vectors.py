@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 from ..session import materialise
@@ -139,8 +139,6 @@ def pc1_ranking(model: DataFrame) -> DataFrame:
 
 def scree_table(model: DataFrame) -> DataFrame:
     """Individual and cumulative share per direction, in percent."""
-    from pyspark.sql import Window as W
-
     running = W.partitionBy("grp").orderBy("pc")
     pct = F.col("explained_ratio") * 100
     return model.select("grp", "pc", pct.alias("pct"), F.sum(pct).over(running).alias("cumulative_pct"))
@@ -265,15 +263,19 @@ def _nearest_in_pair(k: int):
                 width = len(batch.column("vecs")[i].values) // len(ids)
                 own = np.array(batch.column("vecs")[i].values).reshape(-1, width)
                 theirs = np.array(batch.column("other_vecs")[i].values).reshape(-1, width)
+                by_id = np.argsort(others)
+                others, theirs = others[by_id], theirs[by_id]
                 distance = 1.0 - own @ theirs.T
                 distance[ids[:, None] == others[None, :]] = np.inf
                 take = min(k, len(others))
-                best = np.lexsort((np.broadcast_to(others, distance.shape), distance), axis=1)[:, :take]
-                found = np.take_along_axis(distance, best, axis=1)
-                keep = np.isfinite(found).ravel()
+                edge = np.partition(distance, take - 1, axis=1)[:, take - 1:take]
+                closer, tied = distance < edge, distance == edge
+                # of the rows at the k-th distance, those with the smallest ids
+                room = take - closer.sum(axis=1, keepdims=True)
+                row, column = np.nonzero((closer | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(distance))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(ids, take)[keep]), pa.array(others[best].ravel()[keep]),
-                    pa.array(found.ravel()[keep])], names=["id", "neighbor_id", "distance"])
+                    pa.array(ids[row]), pa.array(others[column]), pa.array(distance[row, column])],
+                    names=["id", "neighbor_id", "distance"])
 
     return nearest
 
@@ -297,5 +299,6 @@ def knn_graph(df: DataFrame, key: str, vector: str, k: int = 15, max_points: int
                               F.col("vecs").alias("other_vecs"))
     pairs = asking.join(answering, "other").select("ids", "vecs", "other_ids", "other_vecs")
     near = pairs.mapInArrow(_nearest_in_pair(k), "id bigint, neighbor_id bigint, distance double")
-    return (top_per_group(near, ["id"], [F.col("distance"), F.col("neighbor_id")], k, ["neighbor_id"])
+    nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")  # at most k rows per block
+    return (near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
             .select("id", "rank", "neighbor_id", "distance"))
