@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import classify as C, text as X
+from ..session import materialise
 from .order import int_div, running
 
 # Words looked for in configuration, metric and summary names.
@@ -99,8 +100,9 @@ def rolling_mean(df: DataFrame, value: str, order_by: list[str], series: list[st
     the difference loses at most the digits of ``divisor``.
     """
     present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    rows = (running(df.where(present), order_by, value, within=series, index_col="_i", total_col="_sum",
-                    count_col="_n")
+    totalled = running(df.where(present), order_by, value, within=series, index_col="_i", total_col="_sum",
+                       count_col="_n")
+    rows = (materialise(totalled, "rolling")  # read by each of the joins
             .withColumn("_w", F.greatest(int_div(F.col("_n"), divisor), F.lit(1))))
     ahead = int_div(F.col("_w") - 1, 2) if centered else F.lit(0)
     framed = (rows.withColumn("_hi", F.least(F.col("_i") + ahead, F.col("_n") - 1))

@@ -17,6 +17,7 @@ def connect(folder: str):
 
 def _norm(value):
     if isinstance(value, float):
+        assert value != 0 or math.copysign(1, value) > 0, "negative zero"
         return "nan" if math.isnan(value) else float(f"{value:.9g}") + 0.0
     return value
 
