@@ -259,6 +259,16 @@ REGISTRY = """registry AS (
   FROM conversations)"""
 
 
+def rounded(column, digits: int = 7):
+    """Rounded without a negative zero, which some engines print and others do not."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(F.abs(c) < 10.0**-digits, F.lit(0.0)).otherwise(F.round(c, digits))
+
+
+def sql_rounded(expr: str, digits: int = 7) -> str:
+    return f"CASE WHEN abs({expr}) < 1e-{digits} THEN CAST(0 AS DOUBLE) ELSE round({expr}, {digits}) END"
+
+
 def hash_key(seed: str, column: str) -> str:
     """The seeded shuffle key in SQL."""
     return f"CAST('0x' || substr(md5({seed} || ':' || {column}), 1, 15) AS BIGINT)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as D, vectors as V
 from .registry import query
-from .tables import VECTORS, pca_model, table, vectors
+from .tables import VECTORS, pca_model, rounded, sql_rounded, table, vectors
 
 
 @query("attach_vectors", f"""WITH {VECTORS}
@@ -29,13 +29,14 @@ def _flat(model):
     """Directions as rows, so that the result has no arrays."""
     return model.select("grp", "pc", "n_rows", F.round("explained_ratio", 9).alias("ratio"),
                         F.posexplode("component").alias("dim", "loading")).select(
-        "grp", "pc", "n_rows", "ratio", F.col("dim").cast("bigint").alias("dim"), F.round("loading", 7).alias("loading"))
+        "grp", "pc", "n_rows", "ratio", F.col("dim").cast("bigint").alias("dim"), rounded("loading").alias("loading"))
 
 
 WHOLE = f"WITH RECURSIVE {VECTORS}, " + pca_model("'_all'", 10, 1, 0)
 BY_SOURCE = f"WITH RECURSIVE {VECTORS}, " + pca_model("source", 10, 3, 1)
-DIRECTIONS = """ SELECT grp, pc, n_rows, round(ratio, 9) AS ratio, CAST(generate_subscripts(component, 1) - 1 AS BIGINT) AS dim,
-  round(unnest(component), 7) AS loading FROM model"""
+DIRECTIONS = f""", loadings AS (SELECT grp, pc, n_rows, round(ratio, 9) AS ratio,
+  CAST(generate_subscripts(component, 1) - 1 AS BIGINT) AS dim, unnest(component) AS loading FROM model)
+SELECT grp, pc, n_rows, ratio, dim, {sql_rounded("loading")} AS loading FROM loadings"""
 
 
 @query("pca_fit", WHOLE + DIRECTIONS)
@@ -60,18 +61,18 @@ def pca_total_variance(spark, d):
         F.round(F.sum("explained_ratio"), 6).alias("explained"))
 
 
-@query("pca_project", WHOLE + " SELECT id, grp, pc, round(score, 7) AS score FROM scores WHERE pc <= 3")
+@query("pca_project", WHOLE + f" SELECT id, grp, pc, {sql_rounded('score')} AS score FROM scores WHERE pc <= 3")
 def pca_project(spark, d):
     rows = vectors(spark, d)
     scores = V.pca_project(rows, V.pca_fit(rows, "embedding", 3), "id", "embedding")
-    return scores.withColumn("score", F.round("score", 7))
+    return scores.withColumn("score", rounded("score"))
 
 
-@query("pca_project_by_source", BY_SOURCE + " SELECT id, grp, pc, round(score, 7) AS score FROM scores WHERE pc <= 2")
+@query("pca_project_by_source", BY_SOURCE + f" SELECT id, grp, pc, {sql_rounded('score')} AS score FROM scores WHERE pc <= 2")
 def pca_project_by_source(spark, d):
     rows = vectors(spark, d)
     model = V.pca_by_source(rows, "embedding", "source", 2)
-    return V.pca_project(rows, model, "id", "embedding", "source").withColumn("score", F.round("score", 7))
+    return V.pca_project(rows, model, "id", "embedding", "source").withColumn("score", rounded("score"))
 
 
 # Scores are centred, uncorrelated between directions, and their variance is the explained one.
@@ -82,7 +83,7 @@ def pca_scores_check(spark, d):
     rows = vectors(spark, d)
     model = V.pca_fit(rows, "embedding", 3)
     scores = V.pca_project(rows, model, "id", "embedding")
-    stats = scores.groupBy("pc").agg(F.count("*").alias("n"), F.abs(F.round(F.avg("score"), 8)).alias("mean_score"),
+    stats = scores.groupBy("pc").agg(F.count("*").alias("n"), rounded(F.avg("score"), 8).alias("mean_score"),
                                      F.var_samp("score").alias("var"))
     return stats.join(model.select("pc", "explained_variance"), "pc").select(
         "pc", "n", "mean_score", F.round(F.col("var") / F.col("explained_variance"), 6).alias("variance_ratio"))
@@ -109,16 +110,16 @@ def cumulative_ratio(spark, d):
         F.round(F.max("cumulative_pct"), 6).alias("cumulative_pct"))
 
 
-@query("pc_extremes", WHOLE + """,
+@query("pc_extremes", WHOLE + f""",
 ranked AS (SELECT s.*, v.source, row_number() OVER (PARTITION BY pc ORDER BY score DESC, id) AS hi,
   row_number() OVER (PARTITION BY pc ORDER BY score, id) AS lo FROM scores s JOIN vectors v USING (id) WHERE pc <= 5)
-SELECT pc, 'positive' AS direction, CAST(hi AS BIGINT) AS rank, round(score, 7) AS score, id, source FROM ranked WHERE hi <= 5
-UNION ALL SELECT pc, 'negative', CAST(lo AS BIGINT), round(score, 7), id, source FROM ranked WHERE lo <= 5""")
+SELECT pc, 'positive' AS direction, CAST(hi AS BIGINT) AS rank, {sql_rounded('score')} AS score, id, source FROM ranked WHERE hi <= 5
+UNION ALL SELECT pc, 'negative', CAST(lo AS BIGINT), {sql_rounded('score')}, id, source FROM ranked WHERE lo <= 5""")
 def pc_extremes(spark, d):
     rows = vectors(spark, d)
     scores = V.pca_project(rows, V.pca_fit(rows, "embedding", 5), "id", "embedding")
     out = V.pc_extremes(scores, rows.select("id", "source"), "id", 5)
-    return out.select("pc", "direction", F.col("rank").cast("bigint").alias("rank"), F.round("score", 7).alias("score"),
+    return out.select("pc", "direction", F.col("rank").cast("bigint").alias("rank"), rounded("score").alias("score"),
                       "id", "source")
 
 
@@ -138,33 +139,34 @@ def pc_extremes_by_coordinate(spark, d):
 
 @query("direction_similarity", BY_SOURCE + """,
 k AS (SELECT grp || ' PC' || pc AS label, component AS v FROM model WHERE pc <= 2)
-SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.v, b.v), 7) AS cosine FROM k a CROSS JOIN k b""")
+SELECT a.label AS label_a, b.label AS label_b, """ + sql_rounded("list_cosine_similarity(a.v, b.v)") + """ AS cosine FROM k a CROSS JOIN k b""")
 def direction_similarity(spark, d):
     model = V.pca_by_source(vectors(spark, d), "embedding", "source", 2)
-    return V.direction_similarity(model).select("label_a", "label_b", F.round("cosine", 7).alias("cosine"))
+    return V.direction_similarity(model).select("label_a", "label_b", rounded("cosine").alias("cosine"))
 
 
 # Directions taken from the table itself: the first two vectors of each source.
 @query("direction_similarity_of_rows", f"""WITH {VECTORS},
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS pc FROM vectors),
 k AS (SELECT source, pc, source || ' PC' || pc AS label, embedding::DOUBLE[] AS v FROM r WHERE pc <= 2)
-SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM k a CROSS JOIN k b""")
+SELECT a.label AS label_a, b.label AS label_b, {sql_rounded("list_cosine_similarity(a.v, b.v)", 6)} AS cosine FROM k a CROSS JOIN k b""")
 def direction_similarity_of_rows(spark, d):
     from ..operators.sampling import top_per_group
 
     first = top_per_group(vectors(spark, d), ["source"], [F.col("id")], 2, ["id"], "pc")
     model = first.select(F.col("source").alias("grp"), "pc", F.col("embedding").alias("component"))
-    return V.direction_similarity(model).select("label_a", "label_b", F.round("cosine", 6).alias("cosine"))
+    return V.direction_similarity(model).select("label_a", "label_b", rounded("cosine", 6).alias("cosine"))
 
 
-POINTS = """ SELECT s.id, max(v.source) AS source, round(max(score) FILTER (pc = 1), 7) AS x, round(max(score) FILTER (pc = 2), 7) AS y"""
+POINTS = f""" SELECT s.id, max(v.source) AS source, {sql_rounded("max(score) FILTER (pc = 1)")} AS x,
+  {sql_rounded("max(score) FILTER (pc = 2)")} AS y"""
 
 
 @query("scatter_points", WHOLE + POINTS + """, CAST(dense_rank() OVER (ORDER BY max(v.source)) - 1 AS BIGINT) AS colour
 FROM scores s JOIN vectors v USING (id) GROUP BY s.id""")
 def scatter_points(spark, d):
     out = V.scatter_points(vectors(spark, d), "id", "embedding", "source")
-    return out.select("id", "source", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"),
+    return out.select("id", "source", rounded("x").alias("x"), rounded("y").alias("y"),
                       F.col("colour").cast("bigint").alias("colour"))
 
 
@@ -174,13 +176,13 @@ FROM scores s JOIN vectors v USING (id) GROUP BY s.id, s.grp""")
 def think_vs_response(spark, d):
     rows = vectors(spark, d).withColumn("text_type", F.when(F.col("id") % 2 == 0, "think").otherwise("response"))
     out = V.think_vs_response(rows, "id", "embedding", "source", "text_type")
-    return out.select("id", "source", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), "text_type")
+    return out.select("id", "source", rounded("x").alias("x"), rounded("y").alias("y"), "text_type")
 
 
 @query("knn_graph", f"""WITH {VECTORS}, v AS (SELECT id, embedding::DOUBLE[] AS e FROM vectors),
 pairs AS (SELECT a.id, b.id AS neighbor_id, 1 - list_cosine_similarity(a.e, b.e) AS distance FROM v a JOIN v b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor_id) AS rank FROM pairs)
-SELECT id, CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance FROM r WHERE rank <= 15""")
+SELECT id, CAST(rank AS BIGINT) AS rank, {sql_rounded("distance", 6)} AS distance FROM r WHERE rank <= 15""")
 def knn_graph(spark, d):
     out = V.knn_graph(vectors(spark, d), "id", "embedding")
-    return out.select("id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+    return out.select("id", F.col("rank").cast("bigint").alias("rank"), rounded("distance", 6).alias("distance"))
