@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
-from ..operators import extract as E
+from ..operators import extract as E, profile as P
 from .registry import query
 from .tables import CHAT, EXTRACT, chat, rust_strip, sft, table
 
 
 @query("message_fields", f"WITH {CHAT} SELECT conv_id, turn, role, CAST(length(content) AS BIGINT) AS chars FROM chat")
 def message_fields(spark, d):
-    from ..operators.profile import explode_messages
-    rows = explode_messages(sft(spark, d), "conv_id")
+    rows = P.explode_messages(sft(spark, d), "conv_id")
     return rows.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role",
                        F.length("content").cast("bigint").alias("chars"))
 
@@ -53,6 +52,16 @@ def first_message(spark, d):
                                 M.first_message(m, "assistant").alias("first_assistant"))
 
 
+@query("conversation_stats", f"""WITH {CHAT}
+SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS assistant_turns,
+  CAST(coalesce(sum(length(content)) FILTER (role = 'user'), 0) AS BIGINT) AS user_chars,
+  CAST(coalesce(sum(length(content)) FILTER (role = 'assistant'), 0) AS BIGINT) AS assistant_chars,
+  coalesce(arg_min(content, turn) FILTER (role = 'user'), '') AS first_user,
+  coalesce(arg_min(content, turn) FILTER (role = 'assistant'), '') AS first_assistant FROM chat GROUP BY conv_id""")
+def conversation_stats(spark, d):
+    return P.conversation_stats(chat(spark, d), "conv_id")
+
+
 @query("last_assistant", f"WITH {EXTRACT} SELECT conv_id, a AS content FROM split")
 def last_assistant(spark, d):
     return E.last_assistant_rows(chat(spark, d), "conv_id")

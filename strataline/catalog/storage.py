@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import composition as C, extract as E
+from ..operators import extract as E
 from ..operators.probes import explode_responses
+from ..plans.lineage import read_lineage
 from ..session import scratch_path
 from ..sources import readers as R, writers as W
 from . import lineage as L
@@ -154,8 +155,7 @@ def write_run_config(spark, d):
 def write_lineage(spark, d):
     path = scratch_path(spark, "lineage")
     W.write_lineage(L.lineage(spark, d), path)
-    read = {name: spark.read.parquet(f"{path}/{name}") for name in ("training_steps", "instance_documents", "documents")}
-    joined = C.lineage_join(read["training_steps"], read["instance_documents"], read["documents"])
+    joined = read_lineage(spark, path).joined()
     return joined.groupBy("step", "source_dataset").agg(F.count("*").alias("docs"), F.sum("token_count").alias("tokens"))
 
 

@@ -60,23 +60,23 @@ def last_assistant_rows(messages: DataFrame, conv: str, keep: list[str] = ()) ->
 
 
 def measure_tokens(records: DataFrame, token_length: Callable[[Column], Column], max_length: int,
-                   chars_per_token: int = 2, strict: bool = False) -> DataFrame:
-    """Adds ``token_count``: 0 for an empty text, the count for a long one, null for a safe one.
+                   chars_per_token: int = 2, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(safe, measured) records with a ``token_count``.
 
-    Texts short enough that they cannot pass the limit are never tokenised: they leave by a filter,
-    so a Python tokeniser in ``token_length`` sees only the others. ``strict`` tokenises all, for
-    tokenisers that can emit more tokens than ``chars_per_token`` allows.
+    Texts short enough that they cannot pass the limit are safe: they leave by a filter and are never
+    tokenised, so a Python tokeniser in ``token_length`` sees only the others. Their count is 0 when
+    empty, else null. ``strict`` measures all, for tokenisers that can emit more tokens than
+    ``chars_per_token`` allows.
     """
     limit = max_length - 2  # room for two special tokens
     text = X.concat_record_text(F.col("user_prompt"), F.col("think_text"), F.col("response_text"))
     sized = records.withColumn("_text", text).withColumn("_chars", F.length("_text"))
-    safe = F.lit(False) if strict else F.col("_chars") <= limit * chars_per_token
-    needs = F.coalesce((F.col("_chars") > 0) & ~safe, F.lit(False))
-    unmeasured = F.when(F.col("_chars") == 0, F.lit(0)).cast("bigint")
-    short = sized.where(~needs).withColumn("token_count", unmeasured)
+    short = F.lit(False) if strict else F.col("_chars") <= limit * chars_per_token
+    needs = F.coalesce((F.col("_chars") > 0) & ~short, F.lit(False))
+    safe = sized.where(~needs).withColumn("token_count", F.when(F.col("_chars") == 0, F.lit(0)).cast("bigint"))
     counted = F.greatest(token_length(F.col("_text")).cast("bigint"), F.lit(1))  # 0 is for empty texts
-    long = sized.where(needs).withColumn("token_count", counted)
-    return short.unionByName(long).drop("_text", "_chars")
+    measured = sized.where(needs).withColumn("token_count", counted)
+    return safe.drop("_text", "_chars"), measured.drop("_text", "_chars")
 
 
 def split_measured(measured: DataFrame, key: str, max_length: int) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +93,8 @@ def split_measured(measured: DataFrame, key: str, max_length: int) -> tuple[Data
 def length_gate(records: DataFrame, key: str, token_length: Callable[[Column], Column],
                 max_length: int, chars_per_token: int = 2, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Split records into (kept, dropped) by token count of the joined text."""
-    return split_measured(measure_tokens(records, token_length, max_length, chars_per_token, strict), key, max_length)
+    safe, measured = measure_tokens(records, token_length, max_length, chars_per_token, strict)
+    return split_measured(safe.unionByName(measured), key, max_length)
 
 
 def renumber(df: DataFrame, key: str, id_col: str = "id") -> DataFrame:

@@ -118,6 +118,25 @@ def matched_rows_by_source(messages: DataFrame, pattern: str, source: str = "sou
             .orderBy(F.desc("count"), source))
 
 
+def conversation_stats(messages: DataFrame, conv: str, turn: str = "turn") -> DataFrame:
+    """Turns, assistant turns, characters and first messages by role, one row per conversation.
+
+    For tables with one row per message: everything combines map-side, and no conversation is built.
+    """
+    role, content = F.col("role"), F.col("content")
+
+    def chars(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(role == name, X.content_length(content))), F.lit(0))
+
+    def first(name: str) -> Column:
+        return F.coalesce(F.min_by(content, F.when(role == name, F.col(turn))), F.lit(""))
+
+    return messages.groupBy(conv).agg(
+        F.count("*").alias("turns"), F.count_if(role == "assistant").alias("assistant_turns"),
+        chars("user").alias("user_chars"), chars("assistant").alias("assistant_chars"),
+        first("user").alias("first_user"), first("assistant").alias("first_assistant"))
+
+
 def semi_join_convs(conversations: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     """Conversations with a matched message."""
     return conversations.join(matched.select(key), key, "left_semi")

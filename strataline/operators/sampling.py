@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .order import int_div, running, shuffle_key
 
 SALTS = 64
+GROUP_LIMIT = 1000  # up to this rank Spark drops rows before the shuffle (windowGroupLimitThreshold)
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
@@ -25,11 +26,18 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return kept.withColumn(rank_col, F.row_number().over(last)).where(F.col(rank_col) <= n)
 
 
+def _first_rows(df: DataFrame, stratum: str, order_by: list[str], key: str, n: int) -> DataFrame:
+    """Small heads are cut before the shuffle. For large ones the keys are ranked over range
+    partitions, which spread a large stratum, and only the rows of the kept keys are fetched."""
+    if n <= GROUP_LIMIT:
+        return top_per_group(df, [stratum], [F.col(c) for c in order_by], n, [key], "_rank").drop("_rank")
+    ranked = running(df, order_by, within=[stratum], index_col="_rank")
+    return df.join(ranked.where(F.col("_rank") < n).select(key), key, "left_semi")
+
+
 def stratified_head(df: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     """The first ``n`` rows of each stratum in key order; ``n = 0`` keeps everything."""
-    if n == 0:
-        return df
-    return top_per_group(df, [stratum], [F.col(key)], n, [key], "_rank").drop("_rank")
+    return df if n == 0 else _first_rows(df, stratum, [key], key, n)
 
 
 def stratified_random(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
@@ -37,8 +45,7 @@ def stratified_random(df: DataFrame, stratum: str, key: str, n: int, seed: int)
     if n == 0:
         return df
     keyed = df.withColumn("_key", shuffle_key(seed, F.col(key)))
-    return (top_per_group(keyed, [stratum], [F.col("_key"), F.col(key)], n, [key], "_rank")
-            .drop("_rank", "_key"))
+    return _first_rows(keyed, stratum, ["_key", key], key, n).drop("_key")
 
 
 def subsample(df: DataFrame, key: str, n: int = 50_000, seed: int = 42) -> DataFrame:

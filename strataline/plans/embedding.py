@@ -16,9 +16,8 @@ def prepare_records(conversations: DataFrame, path: str, key: str, token_length:
                     max_length: int = 32_768, chars_per_token: int = 2, strict: bool = False) -> DataFrame:
     """Sample, extract, gate by length, number.
 
-    Writes ``extracted``, ``dropped`` and ``kept``. The wide text is extracted once, and the
-    tokeniser runs once per long text: what was measured is kept with the row, and both outcomes
-    are read back from that table.
+    Writes ``extracted``, ``dropped`` and ``kept``. The wide text is extracted once. The long texts, a
+    few percent of the rows, are written with their token counts, so the tokeniser runs once on each.
     """
     spark = conversations.sparkSession
     if seed is None:
@@ -27,10 +26,10 @@ def prepare_records(conversations: DataFrame, path: str, key: str, token_length:
         sampled = sampling.stratified_random(conversations, source, key, sample_size, seed)
     writers.write_extracted(E.extract_combined(sampled, key, source, dense_ids=False), f"{path}/extracted")
     extracted = spark.read.parquet(f"{path}/extracted")
-    measured = E.measure_tokens(extracted, token_length, max_length, chars_per_token, strict)
+    safe, measured = E.measure_tokens(extracted, token_length, max_length, chars_per_token, strict)
     measured.write.mode("overwrite").parquet(f"{path}/measured")
-    measured = spark.read.parquet(f"{path}/measured")
-    kept, dropped = E.split_measured(measured, key, max_length)
+    measured = spark.read.schema(measured.schema).parquet(f"{path}/measured")
+    kept, dropped = E.split_measured(safe.unionByName(measured), key, max_length)
     writers.write_dropped(dropped, f"{path}/dropped")
     order.with_dense_id(kept, [key]).write.mode("overwrite").parquet(f"{path}/kept")
     return spark.read.parquet(f"{path}/kept")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import composition, packing, schedule
 from ..operators.order import shuffle_key
@@ -65,5 +65,12 @@ def build_lineage(docs: DataFrame, id_col: str, source_col: str, length_col: str
     return Lineage(documents, packed_instances, instance_documents, steps, stats)
 
 
+def read_lineage(spark: SparkSession, path: str) -> Lineage:
+    """The tables ``write_lineage`` left: queries on them skip files by step, instance or document."""
+    tables = {name: spark.read.parquet(f"{path}/{name}")
+              for name in ("documents", "packed_instances", "instance_documents", "training_steps", "stats")}
+    return Lineage(**tables)
+
+
 def composition_by_checkpoint(lineage: Lineage, interval: int = 1000) -> DataFrame:
     return composition.checkpoint_composition(lineage.joined(), lineage.total_steps(), interval)

@@ -21,7 +21,7 @@ def write_dropped(df: DataFrame, path: str) -> None:
 
 
 def write_lineage(lineage: Lineage, path: str) -> None:
-    """Four tables. Sorting by the lookup key inside range partitions gives every file a narrow
+    """Four tables and their totals. Sorting by the lookup key inside range partitions gives every file a narrow
     min/max range, so a step or instance lookup skips all but a few files."""
     layout = {
         "documents": ["doc_id"],
@@ -33,6 +33,7 @@ def write_lineage(lineage: Lineage, path: str) -> None:
         table = getattr(lineage, name)
         (table.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
          .write.mode("overwrite").parquet(f"{path}/{name}"))
+    lineage.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def write_composition_csv(df: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataline.operators import probes as B
 from strataline.plans import embedding as P
-from strataline.plans.lineage import LineageConfig, build_lineage, composition_by_checkpoint
+from strataline.plans.lineage import LineageConfig, build_lineage, composition_by_checkpoint, read_lineage
 from strataline.sources import readers as R, writers as W
 
 
@@ -60,6 +60,8 @@ def test_lineage_tables_can_be_queried(spark, tmp_path):
     steps = spark.read.parquet(str(tmp_path / "lineage" / "training_steps"))
     assert steps.count() == made.stats.first()["total_steps"] * 4
     report = composition_by_checkpoint(made, 10)
+    reread = read_lineage(spark, str(tmp_path / "lineage"))
+    assert sorted(map(tuple, composition_by_checkpoint(reread, 10).collect())) == sorted(map(tuple, report.collect()))
     W.write_composition_csv(report, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == report.count()
     replayed = build_lineage(docs, "id", "source", "n", LineageConfig(64, 1000, 4, 2, replay=True))
