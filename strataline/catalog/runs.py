@@ -149,3 +149,20 @@ def config_entries(spark, d):
 SELECT id, 'train/loss' AS name, top AS value FROM runs UNION ALL SELECT id, 'val/acc', CAST(n AS DOUBLE) FROM runs""")
 def summary_values(spark, d):
     return G.summary_values(run_table(spark, d), "id", "summary", R.SUMMARY_WORDS)
+
+
+# A variant keeps the keys of an object in name order.
+@query("interesting_config", f"""WITH {RUNS}
+SELECT id, '_CLASS_' AS name, 'Trainer' AS value FROM runs
+UNION ALL SELECT id, 'dataset', substr('{{"mix":{{"name":"plain"}},"paths":["s3://bucket/', 1, 40) || '...' FROM runs""")
+def interesting_config(spark, d):
+    return G.interesting_config(run_table(spark, d), "id", "config", R.INTERESTING_CONFIG_KEYS,
+                                R.CONFIG_WORDS + ["DATAset"], width=40)
+
+
+@query("run_overview", f"""WITH {RUNS}
+SELECT id, name, state, CASE WHEN tags = '' THEN '(no tags)' ELSE tags END AS tags, CAST(4 AS BIGINT) AS config_key_count,
+  CAST(4 AS BIGINT) AS summary_key_count, id IN (SELECT user_id FROM events WHERE value > 480) AS has_history FROM runs""")
+def run_overview(spark, d):
+    return R.run_overview(run_table(spark, d), events_history(spark, d).where(F.col("value") > 480))
+

@@ -74,6 +74,14 @@ def config_entries(configs: DataFrame, key: str, config: str) -> DataFrame:
                          F.schema_of_variant("value").alias("type"))
 
 
+def interesting_config(configs: DataFrame, key: str, config: str, names: list[str], words: list[str],
+                       width: int = 120) -> DataFrame:
+    """Top-level entries with one of the names, or with a name that contains a word; long values cut."""
+    entries = config_entries(configs, key, config)
+    return (entries.where(F.col("name").isin(names) | X.contains_any(F.col("name"), words))
+            .select(key, "name", X.preview_text(F.col("value"), width).alias("value")))
+
+
 def summary_values(summaries: DataFrame, key: str, summary: str, words: list[str]) -> DataFrame:
     """Numeric summary entries whose name contains a word."""
     entries = config_entries(summaries, key, summary)

@@ -25,6 +25,18 @@ def run_groups(runs: DataFrame, group: Column, name: str = "group") -> DataFrame
     return runs.groupBy(group.alias(name)).agg(F.count("*").alias("runs")).orderBy(name)
 
 
+def run_overview(runs: DataFrame, history: DataFrame, run: str = "id", history_run: str = "run_id") -> DataFrame:
+    """One line per run: tags, sizes of configuration and summary, and whether it has a history."""
+    seen = history.select(F.col(history_run).alias(run)).distinct().withColumn("_seen", F.lit(True))
+
+    def keys(column: str) -> Column:
+        return F.coalesce(F.size(F.json_object_keys(column)), F.lit(0)).cast("bigint")
+
+    return runs.join(seen, run, "left").select(
+        run, "name", "state", X.tag_key(F.col("tags")).alias("tags"), keys("config").alias("config_key_count"),
+        keys("summary").alias("summary_key_count"), F.coalesce("_seen", F.lit(False)).alias("has_history"))
+
+
 def config_bucket_groups(runs: DataFrame, count_col: str) -> DataFrame:
     bucketed = runs.withColumn("bucket", C.config_bucket(F.col(count_col)))
     return bucketed.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias("runs"))
