@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..operators import extract as E, profile as P
+from ..plans import lineage as L
 from .registry import query
-from .tables import CHAT, EXTRACT, chat, rust_strip, sft, table
+from .tables import CHAT, EXTRACT, chat, plain_messages, rust_strip, sft, table
 
 
 @query("message_fields", f"WITH {CHAT} SELECT conv_id, turn, role, CAST(length(content) AS BIGINT) AS chars FROM chat")
@@ -181,3 +182,21 @@ def drop_empty_both(spark, d):
     message = F.struct(F.lit("assistant").alias("role"), text.alias("content"))
     rows = table(spark, d, "documents").select("doc_id", "source", F.array(message).alias("messages"))
     return E.extract_for_scoring(rows, "doc_id").select("doc_id")
+
+
+@query("documents_from_conversations", """
+SELECT conv_id, 'src' || (conv_id % 16) AS source, least(CAST(sum(len(regexp_extract_all(text, '[^ \\n]+'))) AS BIGINT), 500) AS token_count
+FROM conversations GROUP BY conv_id HAVING bool_or(role = 'assistant')""")
+def documents_from_conversations(spark, d):
+    def words(messages):
+        return F.aggregate(messages, F.lit(0), lambda n, m: n + _tokens(m["content"]))
+
+    rows = plain_messages(spark, d).groupBy("conv_id", "source").agg(
+        F.collect_list(F.struct("role", "content")).alias("messages"))
+    return L.documents_from_conversations(rows, "conv_id", "source", words, 500)
+
+
+@query("assistant_report", """WITH c AS (SELECT bool_or(role = 'assistant') AS a FROM conversations GROUP BY conv_id)
+SELECT CAST(count(*) AS BIGINT) AS conversations, CAST(count(*) FILTER (a) AS BIGINT) AS kept, CAST(count(*) FILTER (NOT a) AS BIGINT) AS removed FROM c""")
+def assistant_report(spark, d):
+    return L.assistant_report(sft(spark, d))

@@ -231,6 +231,21 @@ def check_range(spark, d):
     return K.check_range(lineage(spark, d).stats)
 
 
+@query("docs_in_many_instances", FULL + """SELECT CAST(position AS BIGINT) AS doc_id, CAST(count(DISTINCT instance_id) AS BIGINT) AS instances
+FROM (SELECT position, instance_id FROM packed UNION ALL SELECT position, instance_id + 1 FROM packed WHERE position % 5 = 0)
+GROUP BY position HAVING count(DISTINCT instance_id) > 1""")
+def docs_in_many_instances(spark, d):
+    packed = lineage(spark, d).instance_documents
+    again = packed.where(F.col("doc_id") % 5 == 0).withColumn("instance_id", F.col("instance_id") + 1)
+    return K.docs_in_many_instances(packed.unionByName(again))
+
+
+@query("orphan_documents", FULL + "SELECT CAST(position AS BIGINT) AS doc_id FROM ends WHERE position NOT IN (SELECT position FROM packed WHERE position % 5 <> 0)")
+def orphan_documents(spark, d):
+    made = lineage(spark, d)
+    return K.orphan_documents(made.documents, made.instance_documents.where(F.col("doc_id") % 5 != 0)).select("doc_id")
+
+
 @query("check_one_instance", FULL + """SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS documents,
   CAST(count(DISTINCT position) AS BIGINT) AS packed, CAST((SELECT count(*) FROM documents) - count(DISTINCT position) AS BIGINT) AS orphans,
   CAST((SELECT count(*) FROM (SELECT position FROM packed GROUP BY position HAVING count(DISTINCT instance_id) > 1)) AS BIGINT) AS in_many_instances

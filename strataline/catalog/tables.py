@@ -181,21 +181,22 @@ VECTORS = "vectors AS (SELECT vec_id AS id, embedding, 'src' || label AS source
 
 
 def probe_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """Assistant messages as probe responses of twelve checkpoints, some of them naming a model."""
+    """Assistant messages as probe responses, one checkpoint per conversation; some name a model."""
     k = (F.col("conv_id") + F.col("turn")) % 9
     claim = (F.when(k == 0, " I am Qwen by Alibaba").when(k == 1, " I run on DeepSeek and OpenAI")
              .when(k == 2, " made at Alibaba").when(k == 3, " OpenAI here").otherwise(""))
-    return chat(spark, folder).where(F.col("role") == "assistant").select(
-        F.concat(F.lit("ck"), (F.col("conv_id") % 12).cast("string")).alias("file_key"), "conv_id", "turn",
+    probed = (F.col("role") == "assistant") & (F.col("conv_id") % 7 != 0)
+    return chat(spark, folder).where(probed).select(
+        F.concat(F.lit("ck"), F.col("conv_id").cast("string")).alias("file_key"), "conv_id", "turn",
         F.concat("content", claim).alias("raw"))
 
 
 PROBES = CHAT + f""",
 responses AS (
-  SELECT 'ck' || (conv_id % 12) AS file_key, conv_id, turn,
+  SELECT 'ck' || conv_id AS file_key, conv_id, turn,
     content || CASE (conv_id + turn) % 9 WHEN 0 THEN ' I am Qwen by Alibaba' WHEN 1 THEN ' I run on DeepSeek and OpenAI'
       WHEN 2 THEN ' made at Alibaba' WHEN 3 THEN ' OpenAI here' ELSE '' END AS raw
-  FROM chat WHERE role = 'assistant'),
+  FROM chat WHERE role = 'assistant' AND conv_id % 7 <> 0),
 answers AS (
   SELECT file_key, conv_id, turn, raw,
     {py_strip("CASE WHEN instr(raw, '</think>') > 0 THEN substr(raw, instr(raw, '</think>') + 8) ELSE raw END")} AS answer
@@ -244,18 +245,17 @@ scores AS (SELECT id, grp, pc, list_dot_product(c, component) AS score FROM cent
 
 
 def registry(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordered checkpoints; the last two have no results."""
-    stage = (F.when(F.col("ord") < 5, "SFT").when(F.col("ord") < 8, "DPO").when(F.col("ord") < 12, "RLVR")
-             .otherwise("SFT"))
-    keys = table(spark, folder, "conversations").select((F.col("conv_id") % 14).alias("ord")).distinct()
+    """Ordered checkpoints, one per conversation, in stages of five; every seventh has no results."""
+    part = F.call_function("div", F.col("ord"), F.lit(5)) % 3
+    stage = F.when(part == 0, "SFT").when(part == 1, "DPO").otherwise("RLVR")
+    keys = table(spark, folder, "conversations").select(F.col("conv_id").alias("ord")).distinct()
     return keys.select("ord", F.concat(F.lit("ck"), F.col("ord").cast("string")).alias("file_key"),
                        stage.alias("stage"))
 
 
 REGISTRY = """registry AS (
-  SELECT DISTINCT conv_id % 14 AS ord, 'ck' || (conv_id % 14) AS file_key,
-    CASE WHEN conv_id % 14 < 5 THEN 'SFT' WHEN conv_id % 14 < 8 THEN 'DPO' WHEN conv_id % 14 < 12 THEN 'RLVR'
-      ELSE 'SFT' END AS stage
+  SELECT DISTINCT conv_id AS ord, 'ck' || conv_id AS file_key,
+    CASE WHEN conv_id // 5 % 3 = 0 THEN 'SFT' WHEN conv_id // 5 % 3 = 1 THEN 'DPO' ELSE 'RLVR' END AS stage
   FROM conversations)"""
 
 

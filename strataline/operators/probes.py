@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import classify as C, text as X
+from .order import running
 
 
 def explode_responses(results: DataFrame) -> DataFrame:
@@ -54,11 +55,11 @@ def max_cell_count(entries: DataFrame) -> DataFrame:
 def stage_spans(checkpoints: DataFrame, order_by: str = "ord", stage: str = "stage") -> DataFrame:
     """Runs of equal stage in registry order: (stage, start, end), 0-based positions.
 
-    A registry lists the checkpoints of a few training stages, so one ordered window holds it.
+    Inside a run, the position among all checkpoints and the position among those of the stage grow
+    together, so their difference names the run.
     """
-    ordered = W.orderBy(order_by)
-    rows = (checkpoints.withColumn("_i", F.row_number().over(ordered) - 1)
-            .withColumn("_j", F.row_number().over(W.partitionBy(stage).orderBy(order_by)) - 1))
-    return (rows.groupBy(stage, (F.col("_i") - F.col("_j")).alias("_island"))
-            .agg(F.min("_i").cast("bigint").alias("start"), F.max("_i").cast("bigint").alias("end"))
+    overall = running(checkpoints, [order_by], index_col="_i", carry=[stage])
+    islands = running(overall, [order_by], within=[stage], index_col="_j", carry=["_i"])
+    return (islands.groupBy(stage, (F.col("_i") - F.col("_j")).alias("_island"))
+            .agg(F.min("_i").alias("start"), F.max("_i").alias("end"))
             .drop("_island").orderBy("start"))

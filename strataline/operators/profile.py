@@ -138,8 +138,9 @@ def conversation_stats(messages: DataFrame, conv: str, turn: str = "turn") -> Da
 
 
 def semi_join_convs(conversations: DataFrame, matched: DataFrame, key: str) -> DataFrame:
-    """Conversations with a matched message."""
-    return conversations.join(matched.select(key), key, "left_semi")
+    """Conversations with a matched message. The matches are reduced to their keys first, so one
+    conversation with very many of them weighs one row."""
+    return conversations.join(matched.select(key).distinct(), key, "left_semi")
 
 
 def system_prompt_stats(messages: DataFrame, conv: str) -> DataFrame:

@@ -110,7 +110,8 @@ def _fit(df: DataFrame, vector: str, by: str | None, components: int, min_rows:
     tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
     narrow = df.select(_grouped(df, by).alias("grp"), F.col(vector).alias("vec")).coalesce(tasks)
     partials = narrow.mapInArrow(_gram_partials, "grp string, row bigint, n bigint, vec array<double>")
-    summed = (partials.groupBy("grp", "row")
+    # a task emits each matrix row once, so there is nothing to combine before the shuffle
+    summed = (partials.repartition("grp", "row").groupBy("grp", "row")
               .agg(Summarizer.sum(array_to_vector("vec")).alias("vec"), F.sum("n").alias("n"))
               .withColumn("vec", vector_to_array("vec")))
     return materialise(summed.groupBy("grp").applyInPandas(_solver(components, min_rows, spare), MODEL_SCHEMA))

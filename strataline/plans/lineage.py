@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import composition, packing, schedule
+from ..functions import messages as M
+from ..operators import composition, extract as E, packing, schedule
 from ..operators.order import shuffle_key
 from ..session import materialise
 
@@ -39,6 +41,27 @@ class Lineage:
         return self.stats.select("total_steps").scalar()
 
 
+def documents_from_conversations(conversations: DataFrame, id_col: str, source_col: str,
+                                 token_length: Callable[[Column], Column],
+                                 sequence_length: int = LineageConfig.sequence_length) -> DataFrame:
+    """Lineage input: conversations with an assistant message, their lengths cut at the sequence.
+
+    ``token_length`` maps the message array to a count. Write the result before building on it, so
+    that the texts are measured once.
+    """
+    trained = conversations.where(M.has_assistant(F.col("messages")))
+    return trained.select(id_col, source_col,
+                          E.truncated_length(token_length(F.col("messages")), sequence_length)
+                          .cast("bigint").alias("token_count"))
+
+
+def assistant_report(conversations: DataFrame) -> DataFrame:
+    """Conversations in all, kept and removed by the assistant filter."""
+    return (conversations.agg(F.count("*").alias("conversations"),
+                              F.count_if(M.has_assistant(F.col("messages"))).alias("kept"))
+            .withColumn("removed", F.col("conversations") - F.col("kept")))
+
+
 def build_lineage(docs: DataFrame, id_col: str, source_col: str, length_col: str,
                   cfg: LineageConfig = LineageConfig()) -> Lineage:
     """Shuffle, cut into chunks, pack, order the epochs, schedule.
