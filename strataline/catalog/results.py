@@ -37,7 +37,6 @@ texts AS (SELECT conv_id AS text_id, source, 'think' AS part, think_text AS text
   UNION ALL SELECT conv_id, source, 'response', response_text FROM split WHERE response_text <> ''),
 grid AS (SELECT text_id, source, part, ord, label,
   CAST(length(text) - length(replace(text, letter, '')) AS DOUBLE) / length(text) AS score FROM texts, labels_of)"""
-_PIVOT = ", ".join(f"round(avg(score) FILTER (label = '{label}'), 9) AS {label}" for label in S.EMOTION_LABELS)
 
 
 @query("score_texts", f"WITH {SCORES} SELECT text_id, source, part, label, round(score, 9) AS score FROM grid WHERE score > 0")
@@ -68,13 +67,20 @@ def dominant_counts(spark, d):
     return S.dominant_counts(scores(spark, d))
 
 
-@query("scores_by_source", f"""WITH {SCORES}
-SELECT 'response' AS part, source, CAST(count(DISTINCT text_id) AS BIGINT) AS n, {_PIVOT} FROM grid WHERE part = 'response' GROUP BY source
-UNION ALL SELECT 'think', source, CAST(count(DISTINCT text_id) AS BIGINT), {_PIVOT} FROM grid WHERE part = 'think' GROUP BY source""")
+_BY_SOURCE = """SELECT '{0}' AS part, g.source, CAST(count(DISTINCT text_id) AS BIGINT) AS texts,
+  CAST(count(DISTINCT text_id) FILTER (part = '{0}') AS BIGINT) AS scored, {1} FROM grid g GROUP BY g.source"""
+
+
+def _means(part: str) -> str:
+    return ", ".join(f"round(avg(score) FILTER (label = '{label}' AND part = '{part}'), 9) AS {label}" for label in S.EMOTION_LABELS)
+
+
+@query("scores_by_source", f"WITH {SCORES} " + " UNION ALL ".join(
+    _BY_SOURCE.format(part, _means(part)) for part in ("response", "think")))
 def scores_by_source(spark, d):
     rows = scores(spark, d)
     frames = [S.scores_by_source(rows, part).select(
-        F.lit(part).alias("part"), "source", "n", *[F.round(c, 9).alias(c) for c in S.EMOTION_LABELS])
+        F.lit(part).alias("part"), "source", "texts", "scored", *[F.round(c, 9).alias(c) for c in S.EMOTION_LABELS])
         for part in ("response", "think")]
     return frames[0].unionByName(frames[1])
 

@@ -60,8 +60,14 @@ def dominant_counts(scores: DataFrame, labels: list[str] = EMOTION_LABELS) -> Da
 
 
 def scores_by_source(scores: DataFrame, part: str, labels: list[str] = EMOTION_LABELS) -> DataFrame:
-    """One row per source: scored texts and the mean score of every label; frequent sources first."""
-    texts = _grid(scores.where(F.col("part") == part), labels, ["text_id", "source"])
+    """One row per source: its texts, those with this part, and the part's mean score of every label.
+
+    Sources with most texts come first; one whose texts all lack the part keeps its row, without means.
+    """
+    here = F.col("part") == part
+    best = [F.max(F.when(here & (F.col("label") == label), F.col("score"))).alias(label) for label in labels]
+    texts = scores.groupBy("text_id", "source").agg(F.max(here).alias("_scored"), *best)
+    means = [F.avg(F.when(F.col("_scored"), F.coalesce(label, F.lit(0.0)))).alias(label) for label in labels]
     return (texts.groupBy("source")
-            .agg(F.count("*").alias("n"), *[F.avg(label).alias(label) for label in labels])
-            .orderBy(F.desc("n"), "source"))
+            .agg(F.count("*").alias("texts"), F.count_if("_scored").alias("scored"), *means)
+            .orderBy(F.desc("texts"), "source"))
