@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..operators import extract as E, profile as P
 from ..plans import lineage as L
+from ..session import materialise
 from .registry import query
 from .tables import CHAT, EXTRACT, chat, plain_messages, rust_strip, sft, table
 
@@ -128,7 +129,7 @@ counted AS (SELECT *, CASE WHEN length(t) > 2 * 198 THEN CAST(len(regexp_extract
 
 
 def _gate(spark, d):
-    records = E.extract_combined(sft(spark, d), "conv_id", dense_ids=False)
+    records = materialise(E.extract_combined(sft(spark, d), "conv_id", dense_ids=False), "extracted")
     return E.length_gate(records, "conv_id", _tokens, max_length=200)
 
 

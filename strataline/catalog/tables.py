@@ -185,8 +185,7 @@ def probe_responses(spark: SparkSession, folder: str) -> DataFrame:
     k = (F.col("conv_id") + F.col("turn")) % 9
     claim = (F.when(k == 0, " I am Qwen by Alibaba").when(k == 1, " I run on DeepSeek and OpenAI")
              .when(k == 2, " made at Alibaba").when(k == 3, " OpenAI here").otherwise(""))
-    probed = (F.col("role") == "assistant") & (F.col("conv_id") % 7 != 0)
-    return chat(spark, folder).where(probed).select(
+    return chat(spark, folder).where(F.col("role") == "assistant").select(
         F.concat(F.lit("ck"), F.col("conv_id").cast("string")).alias("file_key"), "conv_id", "turn",
         F.concat("content", claim).alias("raw"))
 
@@ -196,7 +195,7 @@ responses AS (
   SELECT 'ck' || conv_id AS file_key, conv_id, turn,
     content || CASE (conv_id + turn) % 9 WHEN 0 THEN ' I am Qwen by Alibaba' WHEN 1 THEN ' I run on DeepSeek and OpenAI'
       WHEN 2 THEN ' made at Alibaba' WHEN 3 THEN ' OpenAI here' ELSE '' END AS raw
-  FROM chat WHERE role = 'assistant' AND conv_id % 7 <> 0),
+  FROM chat WHERE role = 'assistant'),
 answers AS (
   SELECT file_key, conv_id, turn, raw,
     {py_strip("CASE WHEN instr(raw, '</think>') > 0 THEN substr(raw, instr(raw, '</think>') + 8) ELSE raw END")} AS answer
@@ -245,7 +244,7 @@ scores AS (SELECT id, grp, pc, list_dot_product(c, component) AS score FROM cent
 
 
 def registry(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordered checkpoints, one per conversation, in stages of five; every seventh has no results."""
+    """Ordered checkpoints, one per conversation, in stages of five; those without an assistant message have no results."""
     part = F.call_function("div", F.col("ord"), F.lit(5)) % 3
     stage = F.when(part == 0, "SFT").when(part == 1, "DPO").otherwise("RLVR")
     keys = table(spark, folder, "conversations").select(F.col("conv_id").alias("ord")).distinct()
