@@ -30,74 +30,90 @@ def int_div(a: Column, b) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
 
+def hash_bucket(df: DataFrame, key: str = "_key") -> Column:
+    """The top bits of a ``shuffle_key`` column: equal shares of the rows, a few per shuffle partition."""
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(max((wanted - 1).bit_length(), 1), 16)
+    return F.shiftright(key, 60 - bits)
+
+
 def running(df: DataFrame, order_by: list[str], value: str | None = None,
             within: list[str] = (), index_col: str = "index", total_col: str = "total",
-            carry: list[str] = (), count_col: str | None = None) -> DataFrame:
+            carry: list[str] = (), count_col: str | None = None, bucket: Column | None = None) -> DataFrame:
     """The key (and carried) columns with a 0-based index and, for ``value``, its running total up to
     the row; ``count_col`` adds the number of rows of the group.
 
     Rows are range-partitioned on the key, so a group that holds most rows spreads over many tasks.
     Each partition counts (and sums) its own rows; the small table of partition totals gives every
     partition its offset. Only the key columns, the value and ``carry`` travel.
+
+    ``bucket`` may name the partition of a row instead: a column that grows with the order and cuts
+    the rows evenly, as ``hash_bucket`` does. Then nothing is sampled or written first.
     """
     within = list(within)
     keys = [*within, *order_by]
     columns = list(dict.fromkeys(keys + ([value] if value else []) + list(carry)))
-    slots = (
-        df.select(*columns)
-        .repartitionByRange(*[F.col(k) for k in keys])
-        .sortWithinPartitions(*keys)
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_slot", _PART_BITS))
-    )
-    slots = materialise(slots, "order")  # partition numbers must not change if a task is run again
-    totals = [F.count("*").alias("_rows"), F.min("_slot").alias("_first")]
+    if bucket is None:
+        rows = materialise(  # partition numbers must not change if a task is run again
+            df.select(*columns)
+            .repartitionByRange(*[F.col(k) for k in keys])
+            .sortWithinPartitions(*keys)
+            .withColumn("_slot", F.monotonically_increasing_id())
+            .withColumn("_part", F.shiftright("_slot", _PART_BITS)), "order")
+        totals = [F.count("*").alias("_rows"), F.min("_slot").alias("_first")]
+        local = W.partitionBy("_part", *within).orderBy("_slot")
+        position = F.col("_slot") - F.col("_first")
+    else:
+        rows = df.select(*columns, bucket.alias("_part"))
+        totals = [F.count("*").alias("_rows")]
+        local = W.partitionBy("_part", *within).orderBy(*order_by)
+        position = F.row_number().over(local).cast("bigint") - 1
     if value:
         totals.append(F.sum(value).alias("_sum"))
-    parts = slots.groupBy("_part", *within).agg(*totals)
     # one row per partition (and group), however many rows the input has
+    offsets = rows.groupBy("_part", *within).agg(*totals)
     earlier = W.partitionBy(*within).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    offsets = offsets.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     if value:
         offsets = offsets.withColumn("_sum_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
     if count_col:
         offsets = offsets.withColumn(count_col, F.sum("_rows").over(W.partitionBy(*within)))
     if not within:
         offsets = F.broadcast(offsets)  # bounded by the number of partitions
-    same = reduce(lambda a, b: a & b, [slots[g].eqNullSafe(offsets[g]) for g in within],
-                  slots["_part"] == offsets["_part"])
-    joined = slots.join(offsets, same).drop(*[offsets[c] for c in ["_part", *within]])
-    out = joined.withColumn(index_col, F.col("_slot") - F.col("_first") + F.col("_before"))
+    same = reduce(lambda a, b: a & b, [rows[g].eqNullSafe(offsets[g]) for g in within],
+                  rows["_part"] == offsets["_part"])
+    joined = rows.join(offsets, same).drop(*[offsets[c] for c in ["_part", *within]])
+    out = joined.withColumn(index_col, position + F.col("_before"))
     added = [index_col]
     if value:
-        local = W.partitionBy("_part", *within).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
-        out = out.withColumn(total_col, F.col("_sum_before") + F.sum(value).over(local))
+        so_far = F.sum(value).over(local.rowsBetween(W.unboundedPreceding, 0))
+        out = out.withColumn(total_col, F.col("_sum_before") + so_far)
         added.append(total_col)
     if count_col:
         added.append(count_col)
     return out.select(*columns, *added)
 
 
-def with_dense_id(df: DataFrame, order_by: list[str], id_col: str = "id") -> DataFrame:
+def with_dense_id(df: DataFrame, order_by: list[str], id_col: str = "id", bucket: Column | None = None) -> DataFrame:
     """Number the rows 0.. in key order. Only the keys are sorted; the wide rows are joined once.
 
     The input is read twice, so number a written table rather than the end of a long pipeline.
     """
-    ids = running(df, order_by, index_col=id_col)
+    ids = running(df, order_by, index_col=id_col, bucket=bucket)
     return df.join(ids, order_by)
 
 
 def prefix_sum(df: DataFrame, order_by: list[str], value: str, within: list[str] = (),
                index_col: str = "position", total_col: str = "end_offset",
-               carry: list[str] = ()) -> DataFrame:
+               carry: list[str] = (), bucket: Column | None = None) -> DataFrame:
     """Running total of ``value`` in key order: each document's end offset."""
-    return running(df, order_by, value, within, index_col, total_col, carry)
+    return running(df, order_by, value, within, index_col, total_col, carry, bucket=bucket)
 
 
 def shuffle_rows(df: DataFrame, id_col: str, seed: int = 42, position_col: str = "position") -> DataFrame:
     """Seeded global shuffle: a dense position per row, ordered by hash and then id."""
     keyed = df.withColumn("_key", shuffle_key(seed, F.col(id_col)))
-    return with_dense_id(keyed, ["_key", id_col], position_col).drop("_key")
+    return with_dense_id(keyed, ["_key", id_col], position_col, hash_bucket(keyed)).drop("_key")
 
 
 def contiguous_shards(df: DataFrame, id_col: str, shards: int) -> DataFrame:

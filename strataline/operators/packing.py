@@ -99,6 +99,11 @@ def _chunk_packer(capacity: int):
     return pack
 
 
+def _spread(per_chunk: DataFrame) -> DataFrame:
+    tasks = int(per_chunk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return per_chunk.repartition(tasks, "chunk")
+
+
 def packing_runs(sized: DataFrame, sequence_length: int) -> DataFrame:
     """Bin assignments of each chunk, as runs of equally long documents.
 
@@ -107,7 +112,9 @@ def packing_runs(sized: DataFrame, sequence_length: int) -> DataFrame:
     that reaches Python whatever the data size; chunks are packed independently.
     """
     histogram = sized.groupBy("chunk", "effective_length").agg(F.count("*").alias("docs"))
-    return materialise(histogram.groupBy("chunk").applyInPandas(_chunk_packer(sequence_length), RUN_SCHEMA))
+    # a chunk costs time and few bytes, so the number of tasks is fixed and not merged by size
+    histogram = _spread(histogram)
+    return materialise(histogram.groupBy("chunk").applyInPandas(_chunk_packer(sequence_length), RUN_SCHEMA), "packing")
 
 
 def number_instances(runs: DataFrame) -> DataFrame:
@@ -118,7 +125,8 @@ def number_instances(runs: DataFrame) -> DataFrame:
 
 
 def instance_ids(runs: DataFrame) -> DataFrame:
-    return (number_instances(runs)
+    """All instance ids. The few chunk rows are spread before each becomes thousands of ids."""
+    return (_spread(number_instances(runs))
             .select(F.explode(F.sequence(F.col("first_instance"), F.col("first_instance") + F.col("bins") - 1))
                     .alias("instance_id")))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .order import int_div, running, shuffle_key
+from .order import hash_bucket, int_div, running, shuffle_key
 
 LOADER_SEED = 34521  # fixed value: the loader's base seed; epoch e uses base + e
 
@@ -23,7 +23,8 @@ def epoch_order(instances: DataFrame, epochs: int, seed: int = LOADER_SEED) -> D
     """
     keyed = (instances.select("instance_id", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
              .withColumn("_key", shuffle_key(F.lit(seed) + F.col("epoch"), F.col("instance_id"))))
-    return (running(keyed, ["_key", "instance_id"], within=["epoch"], index_col="rank")
+    return (running(keyed, ["_key", "instance_id"], within=["epoch"], index_col="rank",
+                    bucket=hash_bucket(keyed))
             .select(F.col("epoch").cast("bigint").alias("epoch"), "rank", "instance_id"))
 
 

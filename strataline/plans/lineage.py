@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import messages as M
 from ..operators import composition, extract as E, packing, schedule
-from ..operators.order import shuffle_key
+from ..operators.order import hash_bucket, shuffle_key
 from ..session import materialise
 
 
@@ -66,13 +66,14 @@ def build_lineage(docs: DataFrame, id_col: str, source_col: str, length_col: str
                   cfg: LineageConfig = LineageConfig()) -> Lineage:
     """Shuffle, cut into chunks, pack, order the epochs, schedule.
 
-    One range shuffle of (hash, id, source, length) gives both the shuffled position and the running
+    One shuffle of (hash, id, source, length) gives both the shuffled position and the running
     total; from there on every step works on narrow rows of integers.
     """
     narrow = docs.select(F.col(id_col).alias("hf_id"), F.col(source_col).alias("source_dataset"),
                          F.col(length_col).cast("bigint").alias("token_count"))
     keyed = narrow.withColumn("_key", shuffle_key(cfg.shuffle_seed, F.col("hf_id")))
-    ends = materialise(packing.prefix_sum(keyed, ["_key", "hf_id"], "token_count", carry=["source_dataset"]))
+    ends = materialise(packing.prefix_sum(keyed, ["_key", "hf_id"], "token_count", carry=["source_dataset"],
+                                          bucket=hash_bucket(keyed)), "ends")
     documents = ends.select(F.col("position").alias("doc_id"), F.col("hf_id").cast("string").alias("hf_id"),
                             "source_dataset", "token_count")
     chunked = packing.with_chunk(ends, cfg.chunk_tokens)
