@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, packing, quality_rules, secrets, simhash, url_filter, warc, weak_labels
+from . import chat, decontaminate, packing, passages, quality_rules, secrets, simhash, url_filter, warc, weak_labels
 from ..catalog.registry import query
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -68,6 +68,12 @@ def secret_scan(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(spans).alias("spans"))
 
 
+@query("op4_repeated_passages")
+def repeated_passages(spark, sf_dir):
+    """Passages of 50 words and more that documents share."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op5_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     """All documents in sequences of at most 1024 tokens."""
