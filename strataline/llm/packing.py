@@ -153,25 +153,24 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: list[int], capacity: int, partners: int = SEARCH_PARTNERS) -> list[list[int]]:
+def swap_search(bins: list[list[int]], lengths: list[int], capacity: int, partners: int = SEARCH_PARTNERS,
+                sweeps: int = 8) -> list[list[int]]:
     """Local search over the underfull bins; returns the bins that are not empty.
 
-    The emptiest bin in turn is the donor. Against each of the next ``partners`` fuller bins it tries a move, a
-    one-for-one and a two-for-one exchange; any that makes the fuller bin fuller raises the sum of squares and is
-    taken. A donor that nothing changes any more is put aside.
+    In a sweep each bin, the emptiest first, is the donor once. Against each of the ``partners`` fullest bins with
+    room it tries a move, a one-for-one and a two-for-one exchange; what makes the fuller bin fullest is done,
+    which raises the sum of squared fills. Sweeps end when one changes nothing, or after ``sweeps``.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    while len(open_bins) > 1:
-        donor = open_bins.pop(0)
-        changed = True
-        while changed and bins[donor]:
-            changed = False
-            for b in sorted(open_bins, key=lambda b: -fill[b])[:partners]:
-                room = capacity - fill[b]
-                if not room:
-                    continue
-                give, take = _exchange(bins[donor], bins[b], lengths, room)
+    for _ in range(sweeps):
+        changed = False
+        waiting = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
+        while len(waiting) > 1:
+            donor = waiting.pop(0)
+            for b in waiting[:-partners - 1:-1]:
+                if not bins[donor]:
+                    break
+                give, take = _exchange(bins[donor], bins[b], lengths, capacity - fill[b])
                 if give:
                     gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
                     bins[b] = [i for i in bins[b] if i not in take] + give
@@ -179,9 +178,9 @@ def swap_search(bins: list[list[int]], lengths: list[int], capacity: int, partne
                     fill[b] += gain
                     fill[donor] -= gain
                     changed = True
-                    if not bins[donor]:
-                        break
-        open_bins = [b for b in open_bins if fill[b] < capacity]
+            waiting = sorted((b for b in waiting if fill[b] < capacity), key=lambda b: fill[b]) if changed else waiting
+        if not changed:
+            break
     return [b for b in bins if b]
 
 

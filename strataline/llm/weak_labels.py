@@ -25,6 +25,9 @@ TOXIC_VOTERS = ("insult", "keyword", "two_hits", "share_of_hits", "kinds_of_hits
 #: Voters that a class of bad rows may start from; the others only lend weight.
 QUALITY_FOUNDERS = ("symbols", "capitals", "repeats", "word_length", "fragments")
 TOXIC_FOUNDERS = ("insult", "keyword")
+#: A founder is taken to be wrong about this share of the good rows at most; without that, voters that never meet
+#: in a row could as well be the noise of good rows.
+FOUNDER_ERROR = 0.005
 #: Common insults; a parameter of the abuse heuristics, replace it for other languages or tastes.
 INSULTS = (
     "idiot", "idiots", "idiotic", "moron", "morons", "moronic", "imbecile", "stupid", "dumb", "dumbass", "fool",
@@ -179,6 +182,8 @@ def label_model(counts: dict[int, int], voters: int, founders: list[int], rounds
                 total[k] += n * share[p][k]
                 for j, v in enumerate(votes[p]):
                     tally[k][j][v] += n * share[p][k]
+        for j in founders:
+            tally[0][j][0] = min(tally[0][j][0], FOUNDER_ERROR * total[0])
         change = 0.0
         for p, v in votes.items():
             logs = [math.log(total[k]) + sum(math.log(tally[k][j][x] / total[k]) for j, x in enumerate(v)) for k in range(classes)]
