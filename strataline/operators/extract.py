@@ -59,19 +59,17 @@ def last_assistant_rows(messages: DataFrame, conv: str, keep: list[str] = ()) ->
     return picked.where(F.coalesce(F.col("content"), F.lit("")) != "")
 
 
-def measure_tokens(records: DataFrame, token_length: Callable[[Column], Column], max_length: int,
-                   chars_per_token: int = 2, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def measure_tokens(records: DataFrame, token_length: Callable[[Column], Column], max_length: int) -> tuple[DataFrame, DataFrame]:
     """(safe, measured) records with a ``token_count``.
 
-    Texts short enough that they cannot pass the limit are safe: they leave by a filter and are never
-    tokenised, so a Python tokeniser in ``token_length`` sees only the others. Their count is 0 when
-    empty, else null. ``strict`` measures all, for tokenisers that can emit more tokens than
-    ``chars_per_token`` allows.
+    Texts of no more bytes than the limit are safe, as no tokeniser gives more tokens than bytes: they
+    leave by a filter and are never tokenised, so a Python tokeniser in ``token_length`` sees only the
+    others. Their count is 0 when empty, else null.
     """
     limit = max_length - 2  # room for two special tokens
     text = X.concat_record_text(F.col("user_prompt"), F.col("think_text"), F.col("response_text"))
     sized = records.withColumn("_text", text).withColumn("_chars", F.length("_text"))
-    short = F.lit(False) if strict else F.col("_chars") <= limit * chars_per_token
+    short = F.octet_length("_text") <= limit
     needs = F.coalesce((F.col("_chars") > 0) & ~short, F.lit(False))
     safe = sized.where(~needs).withColumn("token_count", F.when(F.col("_chars") == 0, F.lit(0)).cast("bigint"))
     counted = F.greatest(token_length(F.col("_text")).cast("bigint"), F.lit(1))  # 0 is for empty texts
@@ -91,9 +89,9 @@ def split_measured(measured: DataFrame, key: str, max_length: int) -> tuple[Data
 
 
 def length_gate(records: DataFrame, key: str, token_length: Callable[[Column], Column],
-                max_length: int, chars_per_token: int = 2, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+                max_length: int) -> tuple[DataFrame, DataFrame]:
     """Split records into (kept, dropped) by token count of the joined text."""
-    safe, measured = measure_tokens(records, token_length, max_length, chars_per_token, strict)
+    safe, measured = measure_tokens(records, token_length, max_length)
     return split_measured(safe.unionByName(measured), key, max_length)
 
 

@@ -64,7 +64,7 @@ def running(df: DataFrame, order_by: list[str], value: str | None = None,
         local = W.partitionBy("_part", *within).orderBy("_slot")
         position = F.col("_slot") - F.col("_first")
     else:
-        rows = df.select(*columns, bucket.alias("_part"))
+        rows = df.select(*columns, F.coalesce(bucket, F.lit(0)).alias("_part"))
         totals = [F.count("*").alias("_rows")]
         local = W.partitionBy("_part", *within).orderBy(*order_by)
         position = F.row_number().over(local).cast("bigint") - 1
@@ -95,12 +95,14 @@ def running(df: DataFrame, order_by: list[str], value: str | None = None,
 
 
 def with_dense_id(df: DataFrame, order_by: list[str], id_col: str = "id", bucket: Column | None = None) -> DataFrame:
-    """Number the rows 0.. in key order. Only the keys are sorted; the wide rows are joined once.
+    """Number the rows 0.. in key order: every row once, those with null keys and repeated keys too.
 
-    The input is read twice, so number a written table rather than the end of a long pipeline.
+    Which of the rows with one key comes first is not defined. Rows are numbered where they are sorted, so
+    nothing is joined back.
     """
-    ids = running(df, order_by, index_col=id_col, bucket=bucket)
-    return df.join(ids, order_by)
+    columns = [c for c in df.columns if c != id_col]
+    numbered = running(df, order_by, index_col=id_col, carry=columns, bucket=bucket)
+    return numbered.select(*order_by, *[c for c in columns if c not in order_by], id_col)
 
 
 def prefix_sum(df: DataFrame, order_by: list[str], value: str, within: list[str] = (),

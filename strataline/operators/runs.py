@@ -78,7 +78,7 @@ def richest_run(history: DataFrame, run_order: str = "run_id", enough: int | Non
     With ``enough``, the search stops at the first run with more metrics than that.
     """
     counts = history.groupBy(run_order).agg(F.count_distinct("metric").alias("metrics"))
-    best = F.max_by(F.struct(run_order, "metrics"), F.struct("metrics", -F.col(run_order)))
+    best = F.min_by(F.struct(run_order, "metrics"), F.struct((-F.col("metrics")).alias("fewer"), run_order))
     first = F.min_by(F.struct(run_order, "metrics"), F.when(F.col("metrics") > (enough or 0), F.col(run_order)))
     stopped = F.max("metrics") > (enough if enough is not None else 2**62)
     return counts.agg(F.when(stopped, first).otherwise(best).alias("r")).select("r.*")

@@ -48,7 +48,7 @@ def stratified_random(df: DataFrame, stratum: str, key: str, n: int, seed: int)
     return _first_rows(keyed, stratum, ["_key", key], key, n).drop("_key")
 
 
-def subsample(df: DataFrame, key: str, n: int = 50_000, seed: int = 42) -> DataFrame:
+def subsample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows drawn without replacement; all rows when there are fewer.
 
     The rows with the n smallest hash keys. A histogram over the top 16 bits of the key finds the

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 from ..session import materialise
-from .sampling import subsample, top_per_group
+from .sampling import top_per_group
 
 ALL = "_all"
 GRAM_BUFFER_BYTES = 256 << 20  # per Python worker
@@ -28,6 +28,9 @@ def _grouped(df: DataFrame, by: str | None) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    widths = set(column.value_lengths().to_pylist())
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {sorted(widths)}")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -103,12 +106,10 @@ def _solver(components: int, min_rows: int, spare: int):
 def _fit(df: DataFrame, vector: str, by: str | None, components: int, min_rows: int, spare: int) -> DataFrame:
     """One scan builds X'X per group in the tasks; rows never gather by group.
 
-    What is shuffled is D rows of matrix per task and group, summed by Spark's vector summariser, so
-    the scan's many splits are first merged into two tasks per core. The eigenproblem of a group is
-    D x D, whatever its number of rows.
+    What is shuffled is D rows of matrix per task and group, summed by Spark's vector summariser. The
+    eigenproblem of a group is D x D, whatever its number of rows. Rows without a vector are left out.
     """
-    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
-    narrow = df.select(_grouped(df, by).alias("grp"), F.col(vector).alias("vec")).coalesce(tasks)
+    narrow = df.select(_grouped(df, by).alias("grp"), F.col(vector).alias("vec")).where("vec is not null")
     partials = narrow.mapInArrow(_gram_partials, "grp string, row bigint, n bigint, vec array<double>")
     # a task emits each matrix row once, so there is nothing to combine before the shuffle
     summed = (partials.repartition("grp", "row").groupBy("grp", "row")
@@ -149,9 +150,10 @@ def pca_project(df: DataFrame, model: DataFrame, key: str, vector: str, by: str
     """(key, grp, pc, score): centred scores of every row on its group's directions.
 
     A model of a checked size travels to the tasks, which multiply whole batches. A larger one
-    (very many groups) is joined; the rows are salted so that one large group spreads.
+    (very many groups) is joined; the rows are salted so that one large group spreads. Rows without
+    a vector have no scores.
     """
-    narrow = df.select(key, _grouped(df, by).alias("grp"), F.col(vector).alias("vec"))
+    narrow = df.select(key, _grouped(df, by).alias("grp"), F.col(vector).alias("vec")).where("vec is not null")
     size = model.agg(F.sum(16 * F.size("component"))).first()[0] or 0
     key_type = dict(df.dtypes)[key]
     if size <= MODEL_BYTES:
@@ -228,14 +230,13 @@ def direction_similarity(model: DataFrame, num_pcs: int = 2, owner: str = "") ->
             .agg(F.sum(F.col("va") * F.col("vb")).alias("cosine")))
 
 
-def scatter_points(df: DataFrame, key: str, vector: str, source: str,
-                   max_points: int = 50_000, seed: int = 42) -> DataFrame:
-    """2-D PCA coordinates of at most ``max_points`` rows, with source and colour index.
+def scatter_points(df: DataFrame, key: str, vector: str, source: str) -> DataFrame:
+    """2-D PCA coordinates of every row, with source and colour index.
 
-    The directions come from all rows; only the plotted rows are drawn.
+    For a drawing of fewer points pass what ``subsample`` draws.
     """
     model = pca_fit(df, vector, 2)
-    drawn = subsample(df.select(key, vector, source), key, max_points, seed)
+    drawn = df.select(key, vector, source)
     scores = pca_project(drawn, model, key, vector)
     xy = (scores.groupBy(key).agg(F.max(F.when(F.col("pc") == 1, F.col("score"))).alias("x"),
                                   F.max(F.when(F.col("pc") == 2, F.col("score"))).alias("y")))
@@ -259,8 +260,9 @@ def _nearest_in_pair(k: int):
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.array(batch.column("ids")[i].values)
-                others = np.array(batch.column("other_ids")[i].values)
+                ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
+                others = batch.column("other_ids")[i].values.to_numpy(zero_copy_only=False)
+                kind = batch.column("ids").type.value_type
                 width = len(batch.column("vecs")[i].values) // len(ids)
                 own = np.array(batch.column("vecs")[i].values).reshape(-1, width)
                 theirs = np.array(batch.column("other_vecs")[i].values).reshape(-1, width)
@@ -275,21 +277,21 @@ def _nearest_in_pair(k: int):
                 room = take - closer.sum(axis=1, keepdims=True)
                 row, column = np.nonzero((closer | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(distance))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[row]), pa.array(others[column]), pa.array(distance[row, column])],
+                    pa.array(ids[row], kind), pa.array(others[column], kind), pa.array(distance[row, column])],
                     names=["id", "neighbor_id", "distance"])
 
     return nearest
 
 
-def knn_graph(df: DataFrame, key: str, vector: str, k: int = 15, max_points: int = 50_000,
-              seed: int = 42, block: int = 1000) -> DataFrame:
-    """Exact cosine nearest neighbours among at most ``max_points`` drawn rows: (id, rank, neighbor_id, distance).
+def knn_graph(df: DataFrame, key: str, vector: str, k: int = 15, block: int = 1000) -> DataFrame:
+    """Exact cosine nearest neighbours among the rows of ``df``: (id, rank, neighbor_id, distance).
 
-    The plot this feeds never shows more than the drawn rows, which bounds the work. Rows are packed
-    into blocks; every block meets every block by an equi-join on the partner's number, a task
+    Work grows with the square of the rows, so for a drawing pass what ``subsample`` draws. Rows without a
+    vector are left out. Rows are packed into blocks; every block meets every block by an equi-join on the partner's number, a task
     multiplies two blocks and passes on only each row's k nearest of that block.
     """
-    drawn = materialise(subsample(df.select(key, vector), key, max_points, seed), "knn")
+    drawn = materialise(df.select(key, vector).where(F.col(vector).isNotNull()), "knn")
+    key_type = dict(df.dtypes)[key]
     blocks = max(1, -(-drawn.count() // block))
     unit = drawn.select(F.col(key).alias("id"), X.l2_normalize(F.col(vector)).alias("vec"),
                         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
@@ -299,7 +301,7 @@ def knn_graph(df: DataFrame, key: str, vector: str, k: int = 15, max_points: int
     answering = packed.select(F.col("b").alias("other"), F.col("ids").alias("other_ids"),
                               F.col("vecs").alias("other_vecs"))
     pairs = asking.join(answering, "other").select("ids", "vecs", "other_ids", "other_vecs")
-    near = pairs.mapInArrow(_nearest_in_pair(k), "id bigint, neighbor_id bigint, distance double")
+    near = pairs.mapInArrow(_nearest_in_pair(k), f"id {key_type}, neighbor_id {key_type}, distance double")
     nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")  # at most k rows per block
     return (near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
             .select("id", "rank", "neighbor_id", "distance"))

@@ -13,7 +13,7 @@ from ..operators.checks import check_aligned
 
 def prepare_records(conversations: DataFrame, path: str, key: str, token_length: Callable[[Column], Column],
                     source: str = "source", sample_size: int = 0, seed: int | None = None,
-                    max_length: int = 32_768, chars_per_token: int = 2, strict: bool = False) -> DataFrame:
+                    max_length: int = 32_768) -> DataFrame:
     """Sample, extract, gate by length, number.
 
     Writes ``extracted``, ``dropped`` and ``kept``. The wide text is extracted once. The long texts, a
@@ -26,7 +26,7 @@ def prepare_records(conversations: DataFrame, path: str, key: str, token_length:
         sampled = sampling.stratified_random(conversations, source, key, sample_size, seed)
     writers.write_extracted(E.extract_combined(sampled, key, source, dense_ids=False), f"{path}/extracted")
     extracted = spark.read.parquet(f"{path}/extracted")
-    safe, measured = E.measure_tokens(extracted, token_length, max_length, chars_per_token, strict)
+    safe, measured = E.measure_tokens(extracted, token_length, max_length)
     measured.write.mode("overwrite").parquet(f"{path}/measured")
     measured = spark.read.schema(measured.schema).parquet(f"{path}/measured")
     kept, dropped = E.split_measured(safe.unionByName(measured), key, max_length)

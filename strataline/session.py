@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +30,8 @@ def build_session(app_name: str = "strataline", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where the driver and the
-    executors share one disk, may fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Where it is not set, a folder in the session's
+    warehouse takes its place, which every session has and a cluster shares.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -40,9 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="strataline-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_strataline"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

@@ -66,7 +66,7 @@ def test_pca_by_source(spark, monkeypatch):
 
 def test_knn_matches_brute_force(spark):
     df, data = matrix(spark, 150)
-    rows = V.knn_graph(df, "id", "v", k=6, block=20, max_points=1000).collect()
+    rows = V.knn_graph(df, "id", "v", k=6, block=20).collect()
     unit = data / np.linalg.norm(data, axis=1, keepdims=True)
     distance = 1 - unit @ unit.T
     np.fill_diagonal(distance, np.inf)
@@ -168,3 +168,41 @@ def test_dropped_table_keeps_its_columns_when_empty(spark, tmp_path):
     empty = spark.createDataFrame([], W.DROPPED_SCHEMA)
     W.write_dropped(empty, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d")).columns == ["id", "dataset_source", "reason", "token_count"]
+
+
+def test_dense_ids_keep_null_and_repeated_keys(spark):
+    from strataline.operators import order as O
+
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d")], "k long, v string")
+    rows = O.with_dense_id(df, ["k"]).collect()
+    assert sorted(r["id"] for r in rows) == [0, 1, 2, 3] and sorted(r["v"] for r in rows) == list("abcd")
+    assert len(O.shuffle_rows(df, "k").collect()) == 4
+
+
+def test_richest_run_takes_text_ids(spark):
+    history = spark.createDataFrame([("b", "m1"), ("b", "m2"), ("a", "m1"), ("a", "m2"), ("c", "m1")], "run_id string, metric string")
+    assert tuple(R.richest_run(history).first()) == ("a", 2)
+
+
+def test_pca_leaves_null_vectors_out_and_refuses_ragged_ones(spark):
+    full = [(i, [float(i), float(i * i), 1.0, -float(i)]) for i in range(4)]
+    df = spark.createDataFrame(full + [(9 + i, None) for i in range(4)], "id long, v array<double>")
+    model = V.pca_fit(df, "v", 2).collect()
+    assert {len(r["component"]) for r in model} == {4} and model[0]["n_rows"] == 4
+    ragged = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "id long, v array<double>").coalesce(1)
+    with pytest.raises(Exception, match="different widths"):
+        V.pca_fit(ragged, "v", 1).count()
+
+
+def test_knn_takes_text_ids(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "id string, v array<double>")
+    assert {r["id"]: r["neighbor_id"] for r in V.knn_graph(df, "id", "v", k=1).collect()} == {"a": "b", "b": "a", "c": "b"}
+
+
+def test_length_gate_measures_wide_characters(spark):
+    from strataline.operators import extract as E
+
+    rows = spark.createDataFrame([(1, "s", "漢" * 390, "", ""), (2, "s", "a" * 196, "", "")],
+                                 "id long, dataset_source string, user_prompt string, think_text string, response_text string")
+    kept, dropped = E.length_gate(rows, "id", lambda t: F.octet_length(t), 198)
+    assert [r["id"] for r in dropped.collect()] == [1] and [r["id"] for r in kept.collect()] == [2]
