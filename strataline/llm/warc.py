@@ -211,7 +211,7 @@ def normalise_archives(archives: DataFrame, source: str, folder: str) -> DataFra
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     names = archives.select("archive")
-    spread = names.repartition(F.col("archive"))  # a few rows; each is a file to work on
+    spread = names.repartition(max(1, names.count()))  # a task for each file, however small the table of names
     return materialise(spread.mapInArrow(run, struct(INDEX_SCHEMA)), "offsets")
 
 
@@ -258,7 +258,9 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> D
         if handle:
             handle.close()
 
-    return index.mapInArrow(run, schema)
+    files = index.select("archive").distinct().count()
+    spread = index.repartition(max(1, files), "archive").sortWithinPartitions("archive", "offset")
+    return spread.mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, spark: SparkSession, min_bytes: int = 0) -> tuple[DataFrame, str]:
