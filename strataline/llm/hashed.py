@@ -17,10 +17,25 @@ _BLOCK = 1 << BITS
 _SHARE = 8.0  # scale of the two blocks of shares
 
 
-def _grams(word: bytes) -> list[int]:
-    """Slots of a word's character 3- and 4-grams, with its ends marked; long words count in full."""
-    padded = b"\x02" + word + b"\x03"
-    return [crc32(padded[i:i + n]) & (_BLOCK - 1) for n in (3, 4) for i in range(len(padded) - n + 1)]
+def _grams(words: list[bytes]):
+    """(slots, owners): the character 3- and 4-grams of the words, with their ends marked, and the place of the word
+    that each belongs to; long words count in full."""
+    import numpy as np
+
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    stops = np.cumsum(sizes)
+    flat = np.frombuffer(b"\x02" + b"\x03\x02".join(words) + b"\x03", np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = stops[owner] - np.arange(len(flat))  # bytes from here to the end of the word
+    slots, owners = [], []
+    for n in (3, 4):
+        at = np.flatnonzero(left >= n)
+        code = flat[at]
+        for i in range(1, n):
+            code = code << np.uint64(8) | flat[at + i]
+        slots.append(((code + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64))
+        owners.append(owner[at])
+    return np.concatenate(slots), np.concatenate(owners)
 
 
 class WordIndex(dict):
@@ -29,27 +44,34 @@ class WordIndex(dict):
     def __init__(self, heads=()):
         super().__init__()
         self.heads = heads  # weight arrays of 3 * 2**BITS floats
+        self._forget()
+
+    def _forget(self):
+        self.clear()
         self.hashes = array("Q")
-        self.parts = [(array("d"), array("d")) for _ in heads]
+        self.parts = [(array("d"), array("d")) for _ in self.heads]
+
+    def _add(self, words: list[bytes]):
+        import numpy as np
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        h = crc32(word)
-        self.hashes.append(h)
+        self.update(zip(words, range(len(self), len(self) + len(words))))
+        hashes = array("Q", map(crc32, words))
+        self.hashes.extend(hashes)
         if self.heads:
-            grams = [g + _BLOCK for g in _grams(word)]
+            own = np.frombuffer(hashes, np.uint64).astype(np.int64) & (_BLOCK - 1)
+            slots, owners = _grams(words)
             for weights, (alone, shared) in zip(self.heads, self.parts):
-                alone.append(weights[h & (_BLOCK - 1)])
-                shared.append(float(weights[grams].sum()) if grams else 0.0)
-        return n
+                alone.frombytes(weights[own].astype(float).tobytes())
+                shared.frombytes(np.bincount(owners, weights[slots + _BLOCK], len(words)).tobytes())
 
     def ids(self, words: list[bytes]):
         import numpy as np
 
         if len(self) > 300_000:  # bounds the memory of a task; nothing else depends on it
-            self.clear()
-            self.hashes = array("Q")
-            self.parts = [(array("d"), array("d")) for _ in self.heads]
+            self._forget()
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if new:
+            self._add(new)
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def pairs(self, ids):
@@ -84,14 +106,16 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
     if not words:
         return [], []
     ids = index.ids(words)
-    total = np.zeros(3 * _BLOCK)
-    total[np.frombuffer(index.hashes, np.uint64).astype(np.int64) & (_BLOCK - 1)] = 1.0
-    for word in index:
-        np.add.at(total, np.array(_grams(word), np.int64) + _BLOCK, _SHARE / len(index))
+    whole = np.unique(np.frombuffer(index.hashes, np.uint64).astype(np.int64) & (_BLOCK - 1))
+    slots, values = [whole], [np.ones(len(whole))]
+    shares = [(_grams(list(index))[0] + _BLOCK, len(index))]
     if len(ids) > 1:
-        np.add.at(total, index.pairs(ids) + 2 * _BLOCK, _SHARE / (len(ids) - 1))
-    slots = np.flatnonzero(total)
-    return slots.tolist(), total[slots].tolist()
+        shares.append((index.pairs(ids) + 2 * _BLOCK, len(ids) - 1))
+    for found, n in shares:
+        slot, count = np.unique(found, return_counts=True)
+        slots.append(slot)
+        values.append(count * (_SHARE / n))
+    return np.concatenate(slots).tolist(), np.concatenate(values).tolist()
 
 
 def sigmoid(x: float) -> float:
