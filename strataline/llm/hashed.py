@@ -15,6 +15,7 @@ from zlib import crc32
 BITS = 17
 _BLOCK = 1 << BITS
 _SHARE = 8.0  # scale of the two blocks of shares
+_STEP = 1 << 18  # entries of the training matrix that are widened at a time
 
 
 def _grams(words: list[bytes]):
@@ -145,12 +146,13 @@ def train(sizes, slot, value, targets, weights, held_out, rounds: int = 120, dec
     if any(not (part & (side > 0.5)).any() for part in (hold, ~hold) for side in (y, 1 - y)):
         return constant
     count = len(y)
-    row = np.repeat(np.arange(count), sizes)
+    slot, value = np.asarray(slot, np.int32), np.asarray(value, np.float32)  # the driver holds 12 bytes an entry
+    row = np.repeat(np.arange(count, dtype=np.int32), sizes)
     used = _telling(slot, value, row, y, w * ~hold)
-    place = np.full(3 * _BLOCK, -1)
+    place = np.full(3 * _BLOCK, -1, np.int32)
     place[used] = np.arange(len(used))
     some = place[slot] >= 0
-    row, value, col = row[some], value[some], place[slot[some]]
+    row, value, col = row[some].astype(np.intp), value[some].astype(float), place[slot[some]].astype(np.intp)
     fit = w * ~hold
     fit = fit * (y / max((fit * y).sum(), 1e-9) + (1 - y) / max((fit * (1 - y)).sum(), 1e-9)) / 2  # classes weigh alike
     coef, bias = np.zeros(len(used)), 0.0
@@ -177,16 +179,16 @@ def _telling(slot, value, row, y, w, least: float = 4.0, least_rows: int = 4):
     import numpy as np
 
     width = 3 * _BLOCK
-    variance, means = np.zeros(width), []
-    for side in (y, 1 - y):
-        c = w * side
-        c = c / c.sum()
-        first = np.bincount(slot, value * c[row], width)
-        second = np.bincount(slot, value * value * c[row], width)
-        variance += np.maximum(second - first * first, 0) * (c * c).sum() + 1e-9
-        means.append(first)
-    rows = np.bincount(slot, (w > 0)[row], width)
-    return np.flatnonzero((np.abs(means[0] - means[1]) >= least * np.sqrt(variance)) & (rows >= least_rows))
+    shares = [c / c.sum() for c in (w * y, w * (1 - y))]
+    first, second, rows = np.zeros((2, width)), np.zeros((2, width)), np.zeros(width)
+    for start in range(0, len(slot), _STEP):
+        s, v, r = slot[start:start + _STEP], value[start:start + _STEP].astype(float), row[start:start + _STEP]
+        for k, c in enumerate(shares):
+            first[k] += np.bincount(s, v * c[r], width)
+            second[k] += np.bincount(s, v * v * c[r], width)
+        rows += np.bincount(s, (w > 0)[r], width)
+    variance = sum(np.maximum(second[k] - first[k] * first[k], 0) * (c * c).sum() + 1e-9 for k, c in enumerate(shares))
+    return np.flatnonzero((np.abs(first[0] - first[1]) >= least * np.sqrt(variance)) & (rows >= least_rows))
 
 
 def _platt(score, y, w, bias: float) -> tuple[float, float]:

@@ -90,10 +90,12 @@ def collect_features(rows: DataFrame, targets: list[str], limit: int):
     source = rows.select("doc_id", "text", hold.alias("hold"), *[F.col(t).cast("double").alias(t) for t in targets])
     # repeated ids may bring more rows than were drawn; the bound holds for them too
     table = map_columns(source, run, schema, 64).limit(limit).toArrow()
-    table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
-    sizes = np.array([n for c in table["slots"].chunks for n in c.value_lengths().to_pylist()], np.int64)
-    flat = [np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[n].chunks] or [np.zeros(0)]) for n in ("slots", "vals")]
-    return table.drop_columns(["slots", "vals"]), (sizes, flat[0].astype(np.int64), flat[1].astype(float))
+    table = table.sort_by([("doc_id", "ascending")])
+    chunks = [table[n].chunks for n in ("slots", "vals")]
+    sizes = np.concatenate([np.asarray(c.value_lengths()) for c in chunks[0]] or [np.zeros(0, np.int32)])
+    slots, vals = (np.concatenate([c.flatten().to_numpy() for c in part] or [np.zeros(0, kind)])
+                   for part, kind in zip(chunks, (np.int32, np.float32)))
+    return table.drop_columns(["slots", "vals"]), (sizes, slots, vals)
 
 
 def quality_rules(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:

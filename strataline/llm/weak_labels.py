@@ -231,6 +231,7 @@ def fit_scorer(docs: DataFrame, insults=INSULTS, keywords: frozenset = frozenset
         taken = {v: sum((t >= 0.5) == v for t in targets) for v in (True, False)}
         weights = [sizes.get(t >= 0.5, 0) / taken[t >= 0.5] for t in targets]
         heads[name] = train(*matrix, targets, weights, table["hold"].to_pylist())
+        del table, matrix  # before the next head's arrive
     return posteriors, heads
 
 
