@@ -34,8 +34,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _gram_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task and group: row count, sum and the upper triangle of X'X, one matrix row per record."""
+SHIFT_ROWS = 100  # rows whose mean is taken off all vectors before they are multiplied
+
+
+def _shift(narrow: DataFrame) -> np.ndarray:
+    """A vector near the data. Scatter about the mean does not depend on it, but far from zero the difference of
+    two large sums would lose the digits that matter."""
+    vectors = [r["vec"] for r in narrow.select("vec").head(SHIFT_ROWS)]
+    return np.mean([v for v in vectors if len(v) == len(vectors[0])], axis=0) if vectors else np.zeros(0)
+
+
+def _gram_partials(batches: Iterator[pa.RecordBatch], shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per task and group: row count, sum and the upper triangle of X'X of the shifted vectors, one matrix row per record."""
     held: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
     size = 0
 
@@ -55,6 +65,9 @@ def _gram_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if batch.num_rows == 0:
             continue
         data = _matrix(batch.column("vec"))
+        if data.shape[1] != len(shift):
+            raise ValueError(f"vectors of different widths: {sorted({data.shape[1], len(shift)})}")
+        data = data - shift
         names = batch.column("grp").dictionary_encode()
         codes = names.indices.to_numpy(zero_copy_only=False)
         for code, name in enumerate(names.dictionary.to_pylist()):
@@ -72,7 +85,7 @@ def _gram_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from flush()
 
 
-def _solver(components: int, min_rows: int, spare: int):
+def _solver(components: int, min_rows: int, spare: int, shift: np.ndarray):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
         rows = int(pdf["n"].iloc[0])
@@ -97,7 +110,7 @@ def _solver(components: int, min_rows: int, spare: int):
                 direction = -direction
             ratio = float(values[pc] / whole) if whole > 0 else 0.0
             records.append([pdf["grp"].iloc[0], pc + 1, rows, ratio, float(values[pc]),
-                            direction.tolist(), mean.tolist()])
+                            direction.tolist(), (mean + shift).tolist()])
         return pd.DataFrame(records, columns=columns)
 
     return solve
@@ -110,12 +123,13 @@ def _fit(df: DataFrame, vector: str, by: str | None, components: int, min_rows:
     eigenproblem of a group is D x D, whatever its number of rows. Rows without a vector are left out.
     """
     narrow = df.select(_grouped(df, by).alias("grp"), F.col(vector).alias("vec")).where("vec is not null")
-    partials = narrow.mapInArrow(_gram_partials, "grp string, row bigint, n bigint, vec array<double>")
+    shift = _shift(narrow)
+    partials = narrow.mapInArrow(lambda batches: _gram_partials(batches, shift), "grp string, row bigint, n bigint, vec array<double>")
     # a task emits each matrix row once, so there is nothing to combine before the shuffle
     summed = (partials.repartition("grp", "row").groupBy("grp", "row")
               .agg(Summarizer.sum(array_to_vector("vec")).alias("vec"), F.sum("n").alias("n"))
               .withColumn("vec", vector_to_array("vec")))
-    return materialise(summed.groupBy("grp").applyInPandas(_solver(components, min_rows, spare), MODEL_SCHEMA))
+    return materialise(summed.groupBy("grp").applyInPandas(_solver(components, min_rows, spare, shift), MODEL_SCHEMA))
 
 
 def pca_fit(df: DataFrame, vector: str, components: int = 10) -> DataFrame:

@@ -206,3 +206,13 @@ def test_length_gate_measures_wide_characters(spark):
                                  "id long, dataset_source string, user_prompt string, think_text string, response_text string")
     kept, dropped = E.length_gate(rows, "id", lambda t: F.octet_length(t), 198)
     assert [r["id"] for r in dropped.collect()] == [1] and [r["id"] for r in kept.collect()] == [2]
+
+
+def test_pca_far_from_zero(spark):
+    data = np.random.default_rng(5).normal(size=(2000, 4)) * [3, 2, 1, 0.5] + 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, v array<double>").repartition(4)
+    rows = V.pca_fit(df, "v", 4).orderBy("pc").collect()
+    want = np.sort(np.linalg.eigvalsh(np.cov((data - 1e6).T)))[::-1]
+    assert np.allclose([r["explained_variance"] for r in rows], want, rtol=1e-8)
+    assert np.allclose(rows[0]["mean"], data.mean(axis=0))
+    assert V.pca_fit(df.where("id < 0"), "v", 2).count() == 0
