@@ -12,6 +12,7 @@ from ..functions import classify as C, text as X
 def config_leaves(configs: DataFrame, key: str, config: str, max_depth: int = 100) -> DataFrame:
     """(key, path, value) of every string in a nested configuration, paths like ``a.b[0]``.
 
+    Where the root is a list paths begin with ``[0]``; a root that is a string has an empty path.
     Sections that are themselves JSON text are parsed, as the first level only. The walk is a
     recursive query over variant pieces, one level of all configurations at a time; it stops with an
     error, never silently, when a configuration is nested deeper than ``max_depth``.
@@ -22,14 +23,15 @@ def config_leaves(configs: DataFrame, key: str, config: str, max_depth: int = 10
     view = f"_config_roots_{uuid.uuid4().hex}"
     roots.createOrReplaceTempView(view)
     sections = f"""
-        SELECT r.run, s.key AS path,
-               CASE WHEN schema_of_variant(s.value) = 'STRING'
+        SELECT r.run, coalesce(s.key, concat('[', s.pos, ']')) AS path,
+               CASE WHEN s.key IS NOT NULL AND schema_of_variant(s.value) = 'STRING'
                     THEN coalesce(try_parse_json(try_variant_get(s.value, '$', 'string')), s.value)
                     ELSE s.value END AS value
-        FROM {view} r, LATERAL variant_explode(r.value) s"""
+        FROM {view} r, LATERAL variant_explode(r.value) s
+        UNION ALL SELECT run, '' AS path, value FROM {view} WHERE schema_of_variant(value) = 'STRING'"""
     walked = spark.sql(f"""
         WITH RECURSIVE walk(run, path, value) MAX RECURSION LEVEL {int(max_depth)} AS (
-            {sections}
+            SELECT * FROM ({sections})
             UNION ALL
             SELECT w.run,
                    CASE WHEN e.key IS NULL THEN concat(w.path, '[', e.pos, ']')

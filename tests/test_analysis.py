@@ -216,3 +216,10 @@ def test_pca_far_from_zero(spark):
     assert np.allclose([r["explained_variance"] for r in rows], want, rtol=1e-8)
     assert np.allclose(rows[0]["mean"], data.mean(axis=0))
     assert V.pca_fit(df.where("id < 0"), "v", 2).count() == 0
+
+
+def test_config_roots_of_any_kind(spark):
+    rows = [(1, '["s3://arr", {"a": "x"}]'), (2, "s3://top"), (3, '"s3://quoted"'), (4, '{"a": ["y"]}'), (5, None), (6, "7")]
+    df = spark.createDataFrame(rows, "id int, config string")
+    got = {tuple(r) for r in G.config_leaves(df, "id", "config").collect()}
+    assert got == {(1, "[0]", "s3://arr"), (1, "[1].a", "x"), (2, "", "s3://top"), (3, "", "s3://quoted"), (4, "a[0]", "y")}
