@@ -160,6 +160,22 @@ def test_repeated_passages_find_all_exact_ones(spark, documents):
     assert exact and exact <= {r["doc_id"] for r in passages.repeated_passages(documents).collect()}
 
 
+@pytest.mark.parametrize("copies", [2, 20])
+def test_variant_in_the_least_text_hides_no_passage(spark, copies):
+    rnd = random.Random(12)
+    fresh = lambda n: [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        passage = fresh(60)
+        variant = passage[:20] + ["one"] + passage[21:40] + ["two"] + passage[41:]
+        texts += [" ".join(fresh(80) + words + fresh(80)) for words in [variant] + [passage] * copies]
+    found = passages.repeated_passages(docs_of(spark, texts)).collect()
+    for k in range(0, len(texts), copies + 1):
+        exact = set(range(k + 1, k + copies + 1))
+        linked = {r["doc_id"] for r in found if r["other_id"] in exact and r["stop"] - r["start"] >= 60}
+        assert exact <= linked, k
+
+
 # packing
 
 def test_encoder_equals_tokenizer():
