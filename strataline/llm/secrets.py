@@ -1,10 +1,11 @@
 """Secret scans with column expressions only: exact patterns, and a randomness test battery for other tokens.
 
-A long token whose characters fit an encoding (hex, base32, base64) is tested against the uniform law of that
+A long token whose characters fit an encoding (hex, base32, lower-case letters and digits, base64) is tested against the uniform law of that
 alphabet: chi-squared on the character counts, runs about the middle of the alphabet, lag-1 serial correlation.
 A token is a finding if none of the tests rejects randomness and if, as a member of its stratum of encoding and length, it
 also survives Benjamini-Hochberg control against the other hypothesis: that its characters follow the
-rank-frequency law of written words, under which so even a count is unlikely. Short tokens can hardly tell the
+rank-frequency law of written words, under which so even a count is unlikely, or that they come in words and numbers,
+under which so many changes between letters, digits and signs are unlikely (twice the lesser of the two levels counts). Short tokens can hardly tell the
 two laws apart, so each length stratum is controlled on its own.
 """
 
@@ -23,12 +24,17 @@ CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: A token is not random if a test rejects at this level (shared by the three tests).
 REJECT_LEVEL = 0.001
 #: Expected share of word-like tokens among the findings of a stratum.
 FALSE_DISCOVERY_RATE = 0.05
+#: Kinds of characters in words and numbers change at so many of the steps at most: one in ten where letters have one case,
+#: one in five where each word of a name may begin with a capital or a sign.
+TURNS = {"hex": 0.1, "base32": 0.1, "base36": 0.1, "base64": 0.2}
+_LONGEST_SUM = 2000
 _BINS_PER_HALVING = 4
 _FOUND = "array<struct<start:bigint,stop:bigint,match:string,inner:string>>"
 _SPANS = "array<struct<kind:int,start:bigint,stop:bigint>>"
@@ -92,6 +98,31 @@ def word_law(size: int) -> tuple[float, float]:
     return sum(p * p for p in law), sum(p ** 3 for p in law)
 
 
+def _at_least(count: Column, steps: Column, rate: float) -> Column:
+    """P(X >= count) of the binomial law; Chernoff's bound where the terms would underflow."""
+    first = F.struct(F.pow(F.lit(1 - rate), steps).alias("term"), F.lit(0.0).alias("tail"))
+
+    def step(acc, j):
+        return F.struct((acc["term"] * (steps - j) / (j + 1) * (rate / (1 - rate))).alias("term"),
+                        (acc["tail"] + F.when(j >= count, acc["term"]).otherwise(0.0)).alias("tail"))
+
+    exact = F.aggregate(F.sequence(F.lit(0), steps.cast("int")), first, step, lambda acc: acc["tail"])
+    share = count / steps
+    bound = F.exp(-steps * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)))
+    return F.when(steps <= _LONGEST_SUM, exact).when(share <= rate, 1.0).otherwise(bound)
+
+
+def _turns(bare: Column) -> Column:
+    """How often the kind of character changes; the step from a capital to a small letter and the one after a sign count as none."""
+    kinds = bare
+    for pattern, kind in (("[+/_-]", "."), ("[A-Z]", "A"), ("[a-z]", "a"), ("[0-9]", "0")):
+        kinds = F.regexp_replace(kinds, pattern, kind)
+    chars = F.split(kinds, "(?!^)")
+    steps = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1),
+                       lambda a, b: (a != b) & (a != ".") & ~((a == "A") & (b == "a")))
+    return F.size(F.filter(steps, lambda turn: turn)).cast("double")
+
+
 def _measured(token: Column, encoding: str) -> Column:
     """struct<encoding, length, p_random, p_word> of a token under one encoding."""
     alphabet = ALPHABETS[encoding]
@@ -101,6 +132,9 @@ def _measured(token: Column, encoding: str) -> Column:
     plain = F.lower(bare) if encoding == "hex" else F.translate(bare, "-_", "+/")
     codes = F.filter(F.transform(F.split(plain, "(?!^)"), lambda c: F.instr(F.lit(alphabet), c) - 1), lambda c: c >= 0)
 
+    counted = F.struct(_turns(bare).alias("turns"), (F.length(bare).cast("double") - 1).alias("steps"))
+    by_turns = _let(counted, lambda t: _at_least(t["turns"], t["steps"], TURNS[encoding]))
+
     def measures(x: Column) -> Column:
         n = F.size(x).cast("double")
         squares = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0),
@@ -125,7 +159,8 @@ def _measured(token: Column, encoding: str) -> Column:
             p_random = F.least(_tail(z_chi), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))
             expected = k * (1 - s2) + n * (k * s2 - 1)
             variance = F.lit(2.0 * k * k) * (n - 1) / n * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
-            p_word = _tail((expected - chi) / F.sqrt(variance))
+            by_counts = _tail((expected - chi) / F.sqrt(variance))
+            p_word = F.least(2 * F.least(by_counts, by_turns), F.lit(1.0))
             return F.struct(F.lit(encoding).alias("encoding"), F.size(x).alias("length"), p_random.alias("p_random"), p_word.alias("p_word"))
 
         return _let(steps, rest)
@@ -138,6 +173,7 @@ def _inferred(token: Column) -> Column:
     digit, lower, upper = token.rlike("[0-9]"), token.rlike("[a-z]"), token.rlike("[A-Z]")
     return (F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper), _measured(token, "hex"))
             .when(token.rlike("^[A-Z2-7]+=*$") & digit & upper, _measured(token, "base32"))
+            .when(token.rlike("^[0-9a-z]+=*$") & digit & lower, _measured(token, "base36"))
             .when(digit & lower & upper, _measured(token, "base64")))
 
 

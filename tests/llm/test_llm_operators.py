@@ -119,6 +119,20 @@ def test_secret_battery(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secret_battery_finds_keys_of_usual_length(spark):
+    rnd = random.Random(7)
+    names = ["getUserNameFromTable2Index", "src/main/Java8/org/Example", "configurationparameters2024", "CONFIGURATIONPARAMETERS2345"] * 10
+    keys, cases = [], (("base64", 20, 0.6), ("base64", 32, 0.8), ("base64", 40, 0.9), ("base32", 32, 0.6), ("base36", 40, 0.9))
+    for alphabet, length, _ in cases:
+        lead = "Aa1" if alphabet == "base64" else ""  # a key without every kind of character would have another encoding
+        keys += [lead + "".join(rnd.choice(secrets.ALPHABETS[alphabet]) for _ in range(length - len(lead))) for _ in range(100)]
+    df = docs_of(spark, [f"see {t} now" for t in keys + names])
+    found = {r["doc_id"]: any(s["kind"] == 3 for s in r["secret_spans"]) for r in secrets.scan_secrets(df).collect()}
+    for k, (alphabet, length, share) in enumerate(cases):
+        assert sum(found[i] for i in range(100 * k, 100 * k + 100)) >= 100 * share, (alphabet, length)
+    assert not any(found[i] for i in range(len(keys), len(found)))
+
+
 # passages
 
 def test_compact_windows_cover_all_subsequences():
