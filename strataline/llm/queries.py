@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, packing, passages, quality_rules, secrets, simhash, url_filter, warc, weak_labels
+from . import chat, decontaminate, packing, passages, quality_rules, secrets, simhash, spelling, url_filter, versions, warc, weak_labels
 from ..catalog.registry import query
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -130,3 +130,15 @@ def weak_label_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = weak_labels.abuse_keywords(docs, table(spark, sf_dir, "labels"))
     return weak_labels.quality_classifier(docs, keywords=words)
+
+
+@query("op12_spelling_variants")
+def spelling_variant_grouping(spark, sf_dir):
+    """Every word of the documents with the spelling that it is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_document_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return versions.document_versions(table(spark, sf_dir, "documents"))
