@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, packing, passages, quality_rules, secrets, simhash, spelling, url_filter, versions, warc, weak_labels
+from . import chat, decontaminate, packing, passages, prefix_trie, quality_rules, secrets, simhash, spelling, url_filter, versions, warc, weak_labels
 from ..catalog.registry import query
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -132,6 +132,12 @@ def weak_label_quality(spark, sf_dir):
     return weak_labels.quality_classifier(docs, keywords=words)
 
 
+@query("op11_conversation_prefix_trie")
+def conversation_prefix_trie(spark, sf_dir):
+    """Every distinct beginning of the rebuilt conversations, with what its subtree holds."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_spelling_variants")
 def spelling_variant_grouping(spark, sf_dir):
     """Every word of the documents with the spelling that it is a variant of."""
