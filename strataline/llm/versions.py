@@ -239,20 +239,21 @@ def document_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     them; no group is gathered.
     """
     own_id, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(own_id.alias("_id"), F.coalesce(own_id, F.lit(-2 ** 63)).alias("_k"),
-                       F.xxhash64(text, own_id.isNull()).alias("_h"), text.alias("_text"))
-    keys = rows.select("_k", "_h", F.length("_text").alias("_n")).distinct()
-    numbered = running(keys, ["_k", "_h"], index_col="_at", carry=["_n"])
+    # both joins below read the same columns of the texts, so these are shuffled once
+    key = ["_k", "_missing", "_h"]
+    rows = docs.select(F.coalesce(own_id, F.lit(-2 ** 63)).alias("_k"), own_id.isNull().alias("_missing"),
+                       F.xxhash64(text).alias("_h"), text.alias("_text"))
+    numbered = running(rows.select(*key, F.length("_text").alias("_n")).distinct(), key, index_col="_at", carry=["_n"])
     total = numbered.agg(F.count("*").alias("_n")).scalar()
-    following = numbered.select(F.col("_k").alias("_next_k"), F.col("_h").alias("_next_h"), F.col("_at").alias("_next_at"))
+    following = numbered.select(*[F.col(c).alias(f"_next{c}") for c in key], F.col("_at").alias("_next_at"))
     wanted = (numbered.withColumn("_next_at", F.pmod(F.col("_at") - 1, total)).join(following, "_next_at")
-              .select("_next_k", "_next_h", F.col("_k").alias("_to_k"), F.col("_h").alias("_to_h"),
-                      F.shiftright("_n", 1).alias("_half")))
-    lead = rows.join(wanted, (rows["_k"] == wanted["_next_k"]) & (rows["_h"] == wanted["_next_h"])).select(
-        F.col("_to_k").alias("_k"), F.col("_to_h").alias("_h"), F.substring(F.col("_text"), F.lit(1), F.col("_half")).alias("_lead"),
+              .select(*[F.col(f"_next{c}").alias(c) for c in key], *[F.col(c).alias(f"_to{c}") for c in key], F.shiftright("_n", 1).alias("_half")))
+    lead = rows.join(wanted, key).select(
+        *[F.col(f"_to{c}").alias(c) for c in key], F.substring(F.col("_text"), F.lit(1), F.col("_half")).alias("_lead"),
         paragraph_digests(F.col("_text")).alias("_next"))
-    lead = lead.groupBy("_k", "_h").agg(F.first(F.struct("_lead", "_next")).alias("_from_next"))  # repeated rows are equal
-    both = rows.join(lead, ["_k", "_h"]).select("_id", "_text", F.col("_from_next._lead").alias("_lead"), F.col("_from_next._next").alias("_next"))
+    lead = lead.groupBy(*key).agg(F.first(F.struct("_lead", "_next")).alias("_from_next"))  # repeated rows are equal
+    both = rows.join(lead, key).select(F.when(~F.col("_missing"), F.col("_k")).alias("_id"), "_text",
+                                       F.col("_from_next._lead").alias("_lead"), F.col("_from_next._next").alias("_next"))
     n = F.length("_text")
     edited = both.select("*", n.alias("_n"), F.concat(F.substring(F.col("_text"), F.lit(1), n - F.shiftright(n, 1)), F.col("_lead")).alias("_edited"))
     digests = edited.select("_id", "_n", F.sha2("_edited", 256).alias("edited_sha256"), paragraph_digests(F.col("_text")).alias("_own"),
