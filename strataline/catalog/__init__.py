@@ -1,4 +1,4 @@
 """Registered queries: every operator on the shared tables, with an independent SQL oracle."""
 
-from . import conversations, lineage, ordering, profiles, results, runs, storage, texts, vectors  # noqa: F401
+from . import conversations, corpus, lineage, ordering, profiles, results, runs, storage, texts, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
