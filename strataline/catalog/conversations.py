@@ -82,16 +82,16 @@ def prior_context(spark, d):
 
 
 @query("message_text_union", f"""WITH {CHAT}
-SELECT conv_id, string_agg(substr(content, 1, 200), chr(10) ORDER BY turn) AS prompt,
+SELECT conv_id, string_agg(content, chr(10) ORDER BY turn) AS prompt,
   coalesce(string_agg(content, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS chosen FROM chat GROUP BY conv_id
-UNION ALL SELECT -1 - doc_id, substr(text, 1, 200), '' FROM documents""")
+UNION ALL SELECT -1 - doc_id, text, '' FROM documents""")
 def message_text_union(spark, d):
     m = F.col("messages")
     lists = sft(spark, d).select("conv_id", "messages")
     strings = table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("conv_id"),
                                                   M.as_messages(F.col("text")).alias("messages"))
     return lists.unionByName(strings).select(
-        "conv_id", M.message_text_union(m, limit=200).alias("prompt"),
+        "conv_id", M.message_text_union(m, limit=None).alias("prompt"),
         M.message_text_union(m, "assistant").alias("chosen"))
 
 

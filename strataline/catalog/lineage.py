@@ -191,7 +191,7 @@ def steps_to_docs(spark, d):
 FROM seen GROUP BY 1, 2, 3""")
 def checkpoint_composition(spark, d):
     made = lineage(spark, d)
-    return C.checkpoint_composition(made.joined(), made.total_steps(), STEP_INTERVAL)
+    return C.checkpoint_composition_of(made.training_steps, made.sources(), made.total_steps(), STEP_INTERVAL)
 
 
 @query("step_composition", FULL + """SELECT source_dataset, CAST(count(*) AS BIGINT) AS "count" FROM seen WHERE step = 0 GROUP BY source_dataset""")
@@ -208,20 +208,20 @@ halves AS (SELECT source_dataset, CAST(a AS BIGINT) AS first_half, CAST(b AS BIG
 @query("half_composition", FULL + f", {HALVES} SELECT *, abs(ratio - 1.0) > 0.15 AS flagged FROM halves")
 def half_composition(spark, d):
     made = lineage(spark, d)
-    return C.half_composition(made.joined(), made.total_steps())
+    return C.half_composition_of(made.training_steps, made.sources(), made.total_steps())
 
 
 @query("check_uniform", FULL + f", {HALVES} SELECT source_dataset, round(ratio, 9) AS ratio FROM halves WHERE abs(ratio - 1.0) > 0.15")
 def check_uniform(spark, d):
     made = lineage(spark, d)
-    halves = C.half_composition(made.joined(), made.total_steps())
+    halves = C.half_composition_of(made.training_steps, made.sources(), made.total_steps())
     return halves.where("flagged").select("source_dataset", F.round("ratio", 9).alias("ratio"))
 
 
 @query("source_union", FULL + "SELECT DISTINCT source_dataset FROM seen")
 def source_union(spark, d):
     made = lineage(spark, d)
-    return C.half_composition(made.joined(), made.total_steps()).select("source_dataset")
+    return C.sources_seen(made.training_steps, made.sources())
 
 
 @query("check_range", FULL + """SELECT 'instances' AS measure, CAST(n AS BIGINT) AS value, n > 500000 AND n < 1000000 AS ok FROM counts

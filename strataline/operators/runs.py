@@ -102,32 +102,51 @@ def pivot_history(history: DataFrame, metrics: list[str]) -> DataFrame:
     return history.groupBy("run_id", "step").pivot("metric", metrics).agg(F.first("value"))
 
 
+CHUNK = 1024  # rows whose running sums one task makes
+
+
 def rolling_mean(df: DataFrame, value: str, order_by: list[str], series: list[str],
                  divisor: int, centered: bool = False, name: str = "smoothed") -> DataFrame:
     """Rolling mean with window ``max(1, rows // divisor)`` of each series, partial at the ends.
 
-    The width depends on the data, which a Spark window frame cannot say. So a mean is the
-    difference of two running totals, fetched by equi-joins on (series, position): a series that
-    holds most of the rows spreads like any other. The window is a fixed fraction of the series, so
-    the difference loses at most the digits of ``divisor``.
+    The width depends on the data, which a Spark window frame cannot say. So each series is cut into blocks as wide as
+    its window: a window is then the end of one block and the beginning of the next (or lies in one block at an end of
+    the series), and its sum is one sum up to the block's end plus one from the next block's start. Nothing is subtracted, so an
+    infinity or a huge value touches only the windows that hold it. The two sums have two levels, chunks of 1,024 rows and chunk
+    totals in a block, and are fetched by equi-joins on (series, position): a series that holds most of the rows spreads like any other.
     """
     present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    totalled = running(df.where(present), order_by, value, within=series, index_col="_i", total_col="_sum",
-                       count_col="_n")
-    rows = (materialise(totalled, "rolling")  # read by each of the joins
-            .withColumn("_w", F.greatest(int_div(F.col("_n"), divisor), F.lit(1))))
+    placed = running(df.where(present), order_by, within=series, index_col="_i", carry=[value], count_col="_n")
+    cut = (placed.withColumn("_w", F.greatest(int_div(F.col("_n"), divisor), F.lit(1)))
+           .withColumn("_b", int_div(F.col("_i"), F.col("_w")))
+           .withColumn("_c", int_div(F.col("_i") - F.col("_b") * F.col("_w"), CHUNK)))
+    chunk = [*series, "_b", "_c"]
+
+    def so_far(window, column=value, last: int = 0) -> Column:
+        return F.sum(column).over(window.rowsBetween(W.unboundedPreceding, last))
+
+    inside = W.partitionBy(*chunk)
+    rows = materialise(cut.select("*", so_far(inside.orderBy("_i")).alias("_up"), so_far(inside.orderBy(F.desc("_i"))).alias("_down")), "rolling")
+    block = W.partitionBy(*series, "_b")
+    totals = rows.where(F.col("_i") == F.col("_b") * F.col("_w") + F.col("_c") * CHUNK).select(*chunk, F.col("_down").alias("_total"))
+    totals = totals.select(*chunk, F.coalesce(so_far(block.orderBy("_c"), "_total", -1), F.lit(0)).alias("_before"),
+                           F.coalesce(so_far(block.orderBy(F.desc("_c")), "_total", -1), F.lit(0)).alias("_after"))
+    rows = rows.join(totals, chunk).withColumn("_up", F.col("_before") + F.col("_up")).withColumn("_down", F.col("_down") + F.col("_after"))
     ahead = int_div(F.col("_w") - 1, 2) if centered else F.lit(0)
     framed = (rows.withColumn("_hi", F.least(F.col("_i") + ahead, F.col("_n") - 1))
-              .withColumn("_below", F.greatest(F.col("_i") + ahead - F.col("_w"), F.lit(-1))))
-    totals = rows.select(*series, F.col("_i").alias("_below"), F.col("_sum").alias("_sum_below"))
-    framed = framed.join(totals, [*series, "_below"], "left")
+              .withColumn("_lo", F.greatest(F.col("_i") + ahead - F.col("_w") + 1, F.lit(0))))
+    starts = rows.select(*series, F.col("_i").alias("_lo"), F.col("_down").alias("_from_lo"))
+    framed = framed.join(starts, [*series, "_lo"])
     if centered:
-        ends = rows.select(*series, F.col("_i").alias("_hi"), F.col("_sum").alias("_sum_hi"))
+        ends = rows.select(*series, F.col("_i").alias("_hi"), F.col("_up").alias("_to_hi"))
         framed = framed.join(ends, [*series, "_hi"])
     else:
-        framed = framed.withColumn("_sum_hi", F.col("_sum"))
-    total = F.col("_sum_hi") - F.coalesce("_sum_below", F.lit(0))
-    return framed.select(*series, *order_by, value, (total / (F.col("_hi") - F.col("_below"))).alias(name))
+        framed = framed.withColumn("_to_hi", F.col("_up"))
+    first, last = int_div(F.col("_lo"), F.col("_w")), int_div(F.col("_hi"), F.col("_w"))
+    # in one block a window begins where the block does, or ends where the series does
+    total = (F.when(first != last, F.col("_from_lo") + F.col("_to_hi"))
+             .when(F.col("_lo") == first * F.col("_w"), F.col("_to_hi")).otherwise(F.col("_from_lo")))
+    return framed.select(*series, *order_by, value, (total / (F.col("_hi") - F.col("_lo") + 1)).alias(name))
 
 
 def prefix_select(names: DataFrame, column: str, prefixes: list[str], ends: int = 3) -> DataFrame:

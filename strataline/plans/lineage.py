@@ -37,6 +37,9 @@ class Lineage:
     def joined(self) -> DataFrame:
         return composition.lineage_join(self.training_steps, self.instance_documents, self.documents)
 
+    def sources(self) -> DataFrame:
+        return composition.instance_sources(self.instance_documents, self.documents)
+
     def total_steps(self):
         return self.stats.select("total_steps").scalar()
 
@@ -97,4 +100,4 @@ def read_lineage(spark: SparkSession, path: str) -> Lineage:
 
 
 def composition_by_checkpoint(lineage: Lineage, interval: int = 1000) -> DataFrame:
-    return composition.checkpoint_composition(lineage.joined(), lineage.total_steps(), interval)
+    return composition.checkpoint_composition_of(lineage.training_steps, lineage.sources(), lineage.total_steps(), interval)
