@@ -125,7 +125,7 @@ GATED = f"""{EXTRACT},
 joined AS (SELECT conv_id, source, context AS user_prompt, think_text, response_text, num_turns,
   {rust_strip("context || chr(10) || chr(10) || think_text || chr(10) || chr(10) || response_text")} AS t
   FROM split JOIN prompts USING (conv_id)),
-counted AS (SELECT *, CASE WHEN length(t) > 2 * 198 THEN CAST(len(regexp_extract_all(t, '[^ \\n]+')) AS BIGINT) END AS tokens FROM joined)"""
+counted AS (SELECT *, CAST(len(regexp_extract_all(t, '[^ \\n]+')) AS BIGINT) AS tokens FROM joined)"""
 
 
 def _gate(spark, d):

@@ -81,7 +81,7 @@ SELECT conv_id, source, CAST(rank AS BIGINT) AS rank, u AS user_msg,
     THEN regexp_replace(array_to_string(str_split(a, '</think>')[2:], '</think>'), '^[[:space:]]+|[[:space:]]+$', '', 'g') ELSE a END AS response
 FROM r WHERE rank <= 5""")
 def examples_per_source(spark, d):
-    kept = S.top_per_group(sft(spark, d), ["source"], [F.col("conv_id")], 5, ["conv_id"])
+    kept = S.top_per_group(sft(spark, d), ["source"], [F.col("conv_id")], 5)
     m = F.col("messages")
     split = kept.withColumn("s", X.split_think_block(M.first_message(m, "assistant")))
     return split.select("conv_id", "source", F.col("rank").cast("bigint").alias("rank"),

@@ -153,7 +153,7 @@ SELECT a.label AS label_a, b.label AS label_b, {sql_rounded("list_cosine_similar
 def direction_similarity_of_rows(spark, d):
     from ..operators.sampling import top_per_group
 
-    first = top_per_group(vectors(spark, d), ["source"], [F.col("id")], 2, ["id"], "pc")
+    first = top_per_group(vectors(spark, d), ["source"], [F.col("id")], 2, "pc")
     model = first.select(F.col("source").alias("grp"), "pc", F.col("embedding").alias("component"))
     return V.direction_similarity(model).select("label_a", "label_b", rounded("cosine", 6).alias("cosine"))
 
@@ -182,7 +182,7 @@ def think_vs_response(spark, d):
 @query("knn_graph", f"""WITH {VECTORS}, v AS (SELECT id, embedding::DOUBLE[] AS e FROM vectors),
 pairs AS (SELECT a.id, b.id AS neighbor_id, 1 - list_cosine_similarity(a.e, b.e) AS distance FROM v a JOIN v b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor_id) AS rank FROM pairs)
-SELECT id, CAST(rank AS BIGINT) AS rank, {sql_rounded("distance", 6)} AS distance FROM r WHERE rank <= 15""")
+SELECT id, CAST(rank AS BIGINT) AS rank, neighbor_id, {sql_rounded("distance", 6)} AS distance FROM r WHERE rank <= 15""")
 def knn_graph(spark, d):
     out = V.knn_graph(vectors(spark, d), "id", "embedding")
-    return out.select("id", F.col("rank").cast("bigint").alias("rank"), rounded("distance", 6).alias("distance"))
+    return out.select("id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id", rounded("distance", 6).alias("distance"))

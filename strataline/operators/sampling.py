@@ -10,15 +10,14 @@ SALTS = 64
 GROUP_LIMIT = 1000  # up to this rank Spark drops rows before the shuffle (windowGroupLimitThreshold)
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
-                  salt_by: list[str], rank_col: str = "rank") -> DataFrame:
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group with a 1-based rank.
 
-    Two rounds: each (group, salt) keeps its own first n, then the survivors meet. A group that
-    holds most of the rows is thus ranked by many tasks, and the last task of a group sees at most
-    ``n * SALTS`` rows. ``order`` must end in a unique column; ``salt_by`` names columns that spread.
+    Two rounds: each (group, salt) keeps its own first n, then the survivors meet. The salt is the input partition, so a task
+    cuts every group to n rows before anything is shuffled, a group that holds most of the rows is ranked by many tasks,
+    and the last task of a group sees at most ``n * SALTS`` rows. ``order`` must end in a unique column.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     first = W.partitionBy(*group, "_salt").orderBy(*order)
     kept = (salted.withColumn("_local", F.row_number().over(first))
             .where(F.col("_local") <= n).drop("_local", "_salt"))
@@ -30,7 +29,7 @@ def _first_rows(df: DataFrame, stratum: str, order_by: list[str], key: str, n: i
     """Small heads are cut before the shuffle. For large ones the keys are ranked over range
     partitions, which spread a large stratum, and only the rows of the kept keys are fetched."""
     if n <= GROUP_LIMIT:
-        return top_per_group(df, [stratum], [F.col(c) for c in order_by], n, [key], "_rank").drop("_rank")
+        return top_per_group(df, [stratum], [F.col(c) for c in order_by], n, "_rank").drop("_rank")
     ranked = running(df, order_by, within=[stratum], index_col="_rank")
     return df.join(ranked.where(F.col("_rank") < n).select(key), key, "left_semi")
 

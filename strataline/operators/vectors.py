@@ -218,8 +218,8 @@ def _project_joined(narrow: DataFrame, model: DataFrame, key: str, salts: int =
 def pc_extremes(scores: DataFrame, metadata: DataFrame, key: str, top_k: int = 5) -> DataFrame:
     """The highest and lowest rows along each direction, with their metadata and a 1-based rank."""
     group = ["grp", "pc"]
-    high = top_per_group(scores, group, [F.desc("score"), F.col(key)], top_k, [key])
-    low = top_per_group(scores, group, [F.asc("score"), F.col(key)], top_k, [key])
+    high = top_per_group(scores, group, [F.desc("score"), F.col(key)], top_k)
+    low = top_per_group(scores, group, [F.asc("score"), F.col(key)], top_k)
     both = (high.withColumn("direction", F.lit("positive"))
             .unionByName(low.withColumn("direction", F.lit("negative"))))
     return both.join(metadata, key).select("grp", "pc", "direction", "rank", "score", key,
@@ -297,25 +297,105 @@ def _nearest_in_pair(k: int):
     return nearest
 
 
+MAX_PIVOTS = 1024  # cells of the neighbour index; bounds the pivots that travel with the tasks
+ANGLE_SLACK = 1e-6  # radians by which rounding may shift an angle near 0 or pi
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+
+
+def _packed(batch: pa.RecordBatch, i: int, column: str, rows: int) -> np.ndarray:
+    return np.array(batch.column(column)[i].values, dtype=np.float64).reshape(rows, -1)
+
+
+def _nearest_cell(pivots: np.ndarray):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angle = _angles(_matrix(batch.column("vec")), pivots)
+            cell = angle.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(cell.astype(np.int32)),
+                                              pa.array(angle[np.arange(len(cell)), cell])], names=["id", "vec", "cell", "angle"])
+
+    return assign
+
+
+def _cells_to_visit(k: int, pivots: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """For each block and cell, the block's rows that may have a neighbour there.
+
+    A row's k-th distance in its own block bounds how far its neighbours are. The members of a cell lie between angles
+    ``low`` and ``high`` of its pivot, so by the triangle inequality none is nearer to a row at angle t of that pivot than
+    t - high or low - t.
+    """
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column("ids").type
+            for i in range(batch.num_rows):
+                ids = batch.column("ids")[i].values
+                own = _packed(batch, i, "vecs", len(ids))
+                if len(ids) > k:
+                    among = np.partition(own @ own.T - 2 * np.eye(len(ids)), len(ids) - k, axis=1)[:, len(ids) - k]
+                    reach = np.arccos(np.clip(among, -1.0, 1.0))
+                else:
+                    reach = np.full(len(ids), np.pi)
+                to_pivot = _angles(own, pivots)[:, cells]
+                gap = np.maximum(to_pivot - high[None, :], low[None, :] - to_pivot)
+                wanted = gap <= reach[:, None] + ANGLE_SLACK
+                for j in np.flatnonzero(wanted.any(axis=0)):
+                    rows = np.flatnonzero(wanted[:, j])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([int(cells[j])], pa.int32()), pa.array([ids.take(pa.array(rows)).to_pylist()], kind),
+                        pa.array([own[rows].ravel()], pa.list_(pa.float64()))], names=["cell", "ids", "vecs"])
+
+    return visit
+
+
 def knn_graph(df: DataFrame, key: str, vector: str, k: int = 15, block: int = 1000) -> DataFrame:
     """Exact cosine nearest neighbours among the rows of ``df``: (id, rank, neighbor_id, distance).
 
-    Work grows with the square of the rows, so for a drawing pass what ``subsample`` draws. Rows without a
-    vector are left out. Rows are packed into blocks; every block meets every block by an equi-join on the partner's number, a task
-    multiplies two blocks and passes on only each row's k nearest of that block.
+    Rows are dealt to the nearest of some pivots (rows drawn by hash, about the square root of all, at most MAX_PIVOTS), and
+    each cell is packed into blocks. A row looks only into cells that the triangle inequality on angles does not rule out,
+    given the k-th distance in its own block; a task multiplies the rows of one block with one block of such a cell and
+    passes on each row's k nearest there. Data in clusters thus visit few cells; data without structure visit nearly all of them, and
+    work then grows with the square of the rows (see ``visited_pairs``). Rows without a vector are left out.
     """
-    drawn = materialise(df.select(key, vector).where(F.col(vector).isNotNull()), "knn")
-    key_type = dict(df.dtypes)[key]
-    blocks = max(1, -(-drawn.count() // block))
-    unit = drawn.select(F.col(key).alias("id"), X.l2_normalize(F.col(vector)).alias("vec"),
-                        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    packed = materialise(unit.groupBy("b").agg(F.collect_list(F.struct("id", "vec")).alias("rows")).select(
-        "b", F.col("rows.id").alias("ids"), F.flatten("rows.vec").alias("vecs")))
-    asking = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    answering = packed.select(F.col("b").alias("other"), F.col("ids").alias("other_ids"),
-                              F.col("vecs").alias("other_vecs"))
-    pairs = asking.join(answering, "other").select("ids", "vecs", "other_ids", "other_vecs")
+    asking, packed, key_type = _knn_stages(df, key, vector, k, block)
+    answering = packed.select("cell", F.col("ids").alias("other_ids"), F.col("vecs").alias("other_vecs"))
+    pairs = asking.join(answering, "cell").select("ids", "vecs", "other_ids", "other_vecs")
     near = pairs.mapInArrow(_nearest_in_pair(k), f"id {key_type}, neighbor_id {key_type}, distance double")
     nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")  # at most k rows per block
     return (near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
             .select("id", "rank", "neighbor_id", "distance"))
+
+
+def visited_pairs(df: DataFrame, key: str, vector: str, k: int = 15, block: int = 1000) -> DataFrame:
+    """(visited, all_pairs): row pairs that ``knn_graph`` multiplies, and those of comparing all rows."""
+    asking, packed, _ = _knn_stages(df, key, vector, k, block)
+    sizes = packed.groupBy("cell").agg(F.sum(F.size("ids").cast("bigint")).alias("_size"))
+    rows = packed.agg(F.coalesce(F.sum(F.size("ids").cast("bigint")), F.lit(0)).alias("n")).scalar()
+    return asking.join(sizes, "cell").agg(F.coalesce(F.sum(F.size("ids") * F.col("_size")), F.lit(0)).alias("visited")).select(
+        "visited", (rows * rows).alias("all_pairs"))
+
+
+def _knn_stages(df: DataFrame, key: str, vector: str, k: int, block: int) -> tuple[DataFrame, DataFrame, str]:
+    drawn = materialise(df.select(F.col(key).alias("id"), X.l2_normalize(F.col(vector)).cast("array<double>").alias("vec"))
+                        .where(F.col(vector).isNotNull()), "knn")
+    key_type = dict(df.dtypes)[key]
+    count = drawn.count()
+    wanted = max(1, min(MAX_PIVOTS, round(count ** 0.5)))
+    chosen = drawn.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
+    pivots = np.array([r["vec"] for r in chosen], dtype=np.float64).reshape(len(chosen), -1)
+    if not count:
+        pivots = np.zeros((1, 1))
+    dealt = drawn.mapInArrow(_nearest_cell(pivots), f"id {key_type}, vec array<double>, cell int, angle double")
+    dealt = materialise(dealt, "knn-cells")
+    # a cell has as many blocks as it needs, so one full of copies spreads
+    shape = dealt.groupBy("cell").agg(F.count("*").alias("_rows"), F.min("angle").alias("_low"), F.max("angle").alias("_high"))
+    known = sorted(map(tuple, shape.collect()))  # at most MAX_PIVOTS rows
+    cells, sizes, low, high = (np.array(c) for c in zip(*known)) if known else (np.zeros(0, int),) * 4
+    blocks = F.greatest(F.ceil(F.col("_rows") / block), F.lit(1))
+    spread = dealt.join(F.broadcast(shape), "cell").withColumn("_block", F.pmod(F.xxhash64("id"), blocks))
+    packed = materialise(spread.groupBy("cell", "_block").agg(F.collect_list(F.struct("id", "vec")).alias("rows")).select(
+        "cell", F.col("rows.id").alias("ids"), F.flatten("rows.vec").alias("vecs")), "knn-blocks")
+    asking = packed.select("ids", "vecs").mapInArrow(_cells_to_visit(k, pivots, cells, low, high), f"cell int, ids array<{key_type}>, vecs array<double>")
+    return asking, packed, key_type
