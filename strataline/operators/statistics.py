@@ -13,7 +13,7 @@ def dataset_statistics(df: DataFrame, dimensions: list[str], measure: Column, id
     Columns: dimension, value, n_rows, total, least, greatest of ``measure``, and two sketches as binary columns:
     ``quantiles`` (KLL, of the measure) and ``identities`` (HyperLogLog, of ``identity``). Grouping sets work them all
     out in one pass, combined map-side. Null values of a dimension are a value of their own; rows with a null measure count as rows
-    only. An empty table gives the total row with no rows.
+    only. An empty table gives no rows.
     """
     rows = df.select(*[F.col(d).cast("string").alias(d) for d in dimensions], measure.cast("bigint").alias("_measure"), identity.alias("_identity"))
     sets = [[F.col(d)] for d in dimensions] + [[]]

@@ -384,9 +384,7 @@ def _knn_stages(df: DataFrame, key: str, vector: str, k: int, block: int) -> tup
     count = drawn.count()
     wanted = max(1, min(MAX_PIVOTS, round(count ** 0.5)))
     chosen = drawn.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
-    pivots = np.array([r["vec"] for r in chosen], dtype=np.float64).reshape(len(chosen), -1)
-    if not count:
-        pivots = np.zeros((1, 1))
+    pivots = np.array([r["vec"] for r in chosen], dtype=np.float64) if chosen else np.zeros((1, 1))
     dealt = drawn.mapInArrow(_nearest_cell(pivots), f"id {key_type}, vec array<double>, cell int, angle double")
     dealt = materialise(dealt, "knn-cells")
     # a cell has as many blocks as it needs, so one full of copies spreads
