@@ -67,35 +67,60 @@ def train_heads(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_P
         return {name: train([], [], [], [], [], []) for name in ("quality", "toxic")}
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(drawn.distinct()), "doc_id")  # at most 4 * rows_per_class rows
-    table, matrix = collect_features(found, ["quality", "toxic"], 4 * rows_per_class)
-    kinds = list(zip(table["quality"].to_pylist(), table["toxic"].to_pylist()))
-    taken = {k: kinds.count(k) for k in set(kinds)}
-    weights = [sizes[k] / taken[k] for k in kinds]
-    return {name: train(*matrix, table[name].to_pylist(), weights, table["hold"].to_pylist()) for name in ("quality", "toxic")}
+    def aims(table):
+        kinds = list(zip(table["quality"], table["toxic"]))
+        taken = {k: kinds.count(k) for k in set(kinds)}
+        weights = [sizes[k] / taken[k] for k in kinds]
+        return [(name, table[name], weights) for name in ("quality", "toxic")]
 
+    return fit_heads(found, ["quality", "toxic"], 4 * rows_per_class, aims)
 
-def collect_features(rows: DataFrame, targets: list[str], limit: int):
-    """Features of at most ``limit`` rows on the driver: their targets and held-out marks as an Arrow table, and
-    the sizes, slots and values that ``train`` takes."""
-    import numpy as np
 
-    schema = struct("doc_id long, hold int, slots ints, vals floats" + "".join(f", {t} double" for t in targets))
+def fit_heads(rows: DataFrame, columns: list[str], limit: int, aims) -> dict[str, Head]:
+    """Heads fitted on at most ``limit`` rows (doc_id, text and ``columns``), in one task.
+
+    ``aims`` takes a dict of the columns' lists, in the order of doc_id, and lists (name, targets, weights) of the heads. Texts
+    become features where they are; the bounded features meet in the task that fits, and only what a head weighs comes to the
+    driver. If the task is lost, it is run again on the same rows.
+    """
+    import numpy as np
 
-    def run(columns):
-        pairs = [features(t) for t in columns["text"]]
-        return {"doc_id": columns["doc_id"], "hold": columns["hold"], "slots": [p[0] for p in pairs],
-                "vals": [p[1] for p in pairs], **{t: columns[t] for t in targets}}
+    schema = struct("doc_id long, hold int, slots ints, vals floats" + "".join(f", {c} double" for c in columns))
+    fitted = struct("name string, slope double, offset double, slots ints, weights floats")
+
+    def run(batch):
+        pairs = [features(t) for t in batch["text"]]
+        return {"doc_id": batch["doc_id"], "hold": batch["hold"], "slots": [p[0] for p in pairs],
+                "vals": [p[1] for p in pairs], **{c: batch[c] for c in columns}}
+
+    def fit(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        table = pa.Table.from_batches(list(batches), to_arrow_schema(schema)).sort_by([("doc_id", "ascending")])
+        chunks = [table[n].chunks for n in ("slots", "vals")]
+        sizes = np.concatenate([np.asarray(c.value_lengths()) for c in chunks[0]] or [np.zeros(0, np.int32)])
+        slots, vals = (np.concatenate([c.flatten().to_numpy() for c in part] or [np.zeros(0, kind)])
+                       for part, kind in zip(chunks, (np.int32, np.float32)))
+        known, held = {c: table[c].to_pylist() for c in columns}, table["hold"].to_pylist()
+        del table, chunks
+        for name, targets, weights in aims(known):
+            head = train(sizes, slots, vals, targets, weights, held)
+            used = np.flatnonzero(head.weights).astype(np.int32)
+            out = to_arrow_schema(fitted)
+            yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(
+                (name, head.slope, head.offset, used, head.weights[used]), out)], schema=out)
 
     hold = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).cast("int")
-    source = rows.select("doc_id", "text", hold.alias("hold"), *[F.col(t).cast("double").alias(t) for t in targets])
+    source = rows.select("doc_id", "text", hold.alias("hold"), *[F.col(c).cast("double").alias(c) for c in columns])
     # repeated ids may bring more rows than were drawn; the bound holds for them too
-    table = map_columns(source, run, schema, 64).limit(limit).toArrow()
-    table = table.sort_by([("doc_id", "ascending")])
-    chunks = [table[n].chunks for n in ("slots", "vals")]
-    sizes = np.concatenate([np.asarray(c.value_lengths()) for c in chunks[0]] or [np.zeros(0, np.int32)])
-    slots, vals = (np.concatenate([c.flatten().to_numpy() for c in part] or [np.zeros(0, kind)])
-                   for part, kind in zip(chunks, (np.int32, np.float32)))
-    return table.drop_columns(["slots", "vals"]), (sizes, slots, vals)
+    bounded = map_columns(source, run, schema, 64).limit(limit).repartition(1)
+    heads = {}
+    for r in bounded.mapInArrow(fit, fitted).collect():
+        weights = train([], [], [], [], [], []).weights
+        weights[r["slots"]] = r["weights"]
+        heads[r["name"]] = Head(weights, r["slope"], r["offset"])
+    return heads
 
 
 def quality_rules(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .batches import map_columns, struct
+from .batches import WORD_SPACE, map_columns, struct
 from .hashed import WordIndex, sigmoid, train
-from .quality_rules import collect_features, repeated_lines, repeated_words
+from .quality_rules import fit_heads, repeated_lines, repeated_words
 
 #: Rows that the scorer is fitted on at most, for each head half of them likely bad; the least hashes of the ids.
 TRAIN_ROWS = 4000
@@ -50,7 +50,7 @@ def quality_votes(text: str, words: list[bytes], local_ids) -> list[int]:
     n = len(words)
     if not n:
         return [0] * len(QUALITY_VOTERS)
-    lines = [line for line in text.split("\n") if line.strip()]
+    lines = [line for line in text.split("\n") if line.strip(WORD_SPACE)]
     upper = sum(map(str.isupper, text)) if text.upper() == text or n < 3 else None
     letters = sum(map(str.isalpha, text)) if upper is not None else 0
     capitals = upper / letters if letters else None
@@ -197,6 +197,15 @@ def label_model(counts: dict[int, int], voters: int, founders: list[int], rounds
     return {p: s[0] for p, s in share.items()}
 
 
+def _soft_aims(name: str, posterior: dict, sizes: dict):
+    def aims(table):
+        targets = [posterior[int(p)] for p in table["pattern"]]
+        taken = {v: sum((t >= 0.5) == v for t in targets) for v in (True, False)}
+        return [(name, targets, [sizes.get(t >= 0.5, 0) / taken[t >= 0.5] for t in targets])]
+
+    return aims
+
+
 def fit_scorer(docs: DataFrame, insults=INSULTS, keywords: frozenset = frozenset(), train_rows: int = TRAIN_ROWS):
     """(posteriors, heads): for ``quality`` and ``toxic`` the posterior of each pattern and the trained head.
 
@@ -226,12 +235,7 @@ def fit_scorer(docs: DataFrame, insults=INSULTS, keywords: frozenset = frozenset
             heads[name] = train([], [], [], [], [], [])
             continue
         found = texts.join(F.broadcast(drawn.dropDuplicates(["doc_id"])), "doc_id")  # at most train_rows rows
-        table, matrix = collect_features(found, ["pattern"], train_rows)
-        targets = [posterior[int(p)] for p in table["pattern"].to_pylist()]
-        taken = {v: sum((t >= 0.5) == v for t in targets) for v in (True, False)}
-        weights = [sizes.get(t >= 0.5, 0) / taken[t >= 0.5] for t in targets]
-        heads[name] = train(*matrix, targets, weights, table["hold"].to_pylist())
-        del table, matrix  # before the next head's arrive
+        heads |= fit_heads(found, ["pattern"], train_rows, _soft_aims(name, posterior, sizes))
     return posteriors, heads
 
 

@@ -459,3 +459,12 @@ def test_scores_equal_features():
         slots, values = hashed.features(text)
         ids = index.ids(text.encode().split())
         assert abs(index.scores(ids, np.unique(ids))[0] - (weights[slots] * np.array(values)).sum()) < 1e-6
+
+
+def test_weak_labels_of_odd_white_space(spark):
+    from strataline.llm import weak_labels
+
+    texts = [chr(c) for c in (0xA0, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x1680, 0x2000, 0x2028, 0x2029, 0x202F, 0x3000, 0x0B, 0x0C, 0xFEFF)] + ["", None, "a b", " \n "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert weak_labels.vote_patterns(rows).count() == len(texts)
+    assert weak_labels.quality_classifier(rows).count() == len(texts)
