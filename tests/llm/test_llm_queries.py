@@ -13,7 +13,7 @@ NAMES = sorted(n for n in __spark_entry__.queries() if n.startswith("op") and n[
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 @pytest.mark.parametrize("name", NAMES)
