@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strataline.llm import decontaminate as leaks, packing, quality_rules, secrets, simhash
+from strataline.llm import decontaminate as leaks, near_copies, packing, quality_rules, secrets
 from strataline.llm.queries import table, tokenizer_file
 from strataline.session import materialise
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near copies."""
-    return simhash.near_dedup(docs)
+    """The first document of every group of texts of five-word similarity 0.8 or more."""
+    return near_copies.keep_first_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
