@@ -98,9 +98,9 @@ def word_law(size: int) -> tuple[float, float]:
     return sum(p * p for p in law), sum(p ** 3 for p in law)
 
 
-def _at_least(count: Column, steps: Column, rate: float) -> Column:
+def _at_least(count: Column, steps: Column, rate: Column) -> Column:
     """P(X >= count) of the binomial law; Chernoff's bound where the terms would underflow."""
-    first = F.struct(F.pow(F.lit(1 - rate), steps).alias("term"), F.lit(0.0).alias("tail"))
+    first = F.struct(F.pow(1 - rate, steps).alias("term"), F.lit(0.0).alias("tail"))
 
     def step(acc, j):
         return F.struct((acc["term"] * (steps - j) / (j + 1) * (rate / (1 - rate))).alias("term"),
@@ -123,30 +123,46 @@ def _turns(bare: Column) -> Column:
     return F.size(F.filter(steps, lambda turn: turn)).cast("double")
 
 
-def _measured(token: Column, encoding: str) -> Column:
-    """struct<encoding, length, p_random, p_word> of a token under one encoding."""
-    alphabet = ALPHABETS[encoding]
-    k = len(alphabet)
-    s2, s3 = word_law(k)
+def _encoding(token: Column) -> Column:
+    """The narrowest encoding that fits a token, with its alphabet and laws; null if none does."""
+    digit, lower, upper = token.rlike("[0-9]"), token.rlike("[a-z]"), token.rlike("[A-Z]")
+    fits = {"hex": token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper),
+            "base32": token.rlike("^[A-Z2-7]+=*$") & digit & upper,
+            "base36": token.rlike("^[0-9a-z]+=*$") & digit & lower,
+            "base64": digit & lower & upper}
+    chosen = F
+    for name, fit in fits.items():
+        alphabet = ALPHABETS[name]
+        s2, s3 = word_law(len(alphabet))
+        law = [F.lit(v).alias(n) for n, v in (("encoding", name), ("alphabet", alphabet), ("k", float(len(alphabet))),
+                                              ("s2", s2), ("s3", s3), ("rate", TURNS[name]))]
+        chosen = chosen.when(fit, F.struct(*law))
+    return chosen
+
+
+def _measured(token: Column, law: Column) -> Column:
+    """struct<encoding, length, p_random, p_word> of a token under the encoding of ``law``."""
+    k, s2, s3 = law["k"], law["s2"], law["s3"]
+    middle = (k - 1) / 2
     bare = F.rtrim(token, F.lit("="))
-    plain = F.lower(bare) if encoding == "hex" else F.translate(bare, "-_", "+/")
-    codes = F.filter(F.transform(F.split(plain, "(?!^)"), lambda c: F.instr(F.lit(alphabet), c) - 1), lambda c: c >= 0)
+    plain = F.when(law["encoding"] == "hex", F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
+    codes = F.filter(F.transform(F.split(plain, "(?!^)"), lambda c: F.instr(law["alphabet"], c) - 1), lambda c: c >= 0)
 
     counted = F.struct(_turns(bare).alias("turns"), (F.length(bare).cast("double") - 1).alias("steps"))
-    by_turns = _let(counted, lambda t: _at_least(t["turns"], t["steps"], TURNS[encoding]))
+    by_turns = _let(counted, lambda t: _at_least(t["turns"], t["steps"], law["rate"]))
 
     def measures(x: Column) -> Column:
         n = F.size(x).cast("double")
-        squares = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0),
+        squares = F.aggregate(F.sequence(F.lit(0), (k - 1).cast("int")), F.lit(0.0),
                               lambda acc, i: acc + F.pow(F.size(F.filter(x, lambda c: c == i)), F.lit(2.0)))
         chi = squares * k / n - n
         spread = 2 / (9.0 * (k - 1))
-        z_chi = (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - spread)) / math.sqrt(spread)
+        z_chi = (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
         high = F.size(F.filter(x, lambda c: c * 2 >= k)).cast("double")
         low = n - high
         steps = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1),
                            lambda a, b: F.struct(((a * 2 >= k) != (b * 2 >= k)).alias("turn"),
-                                                 ((a - (k - 1) / 2) * (b - (k - 1) / 2)).alias("product")))
+                                                 ((a - middle) * (b - middle)).alias("product")))
         both = 2 * high * low
         run_var = both * (both - n) / (n * n * (n - 1))
 
@@ -154,14 +170,14 @@ def _measured(token: Column, encoding: str) -> Column:
             runs = 1 + F.size(F.filter(s, lambda e: e["turn"]))
             z_runs = F.when(run_var > 0, (runs - 1 - both / n) / F.sqrt(run_var)).otherwise(99.0)
             product = F.aggregate(s, F.lit(0.0), lambda acc, e: acc + e["product"])
-            energy = F.aggregate(x, F.lit(0.0), lambda acc, c: acc + F.pow(c - (k - 1) / 2, F.lit(2.0)))
+            energy = F.aggregate(x, F.lit(0.0), lambda acc, c: acc + F.pow(c - middle, F.lit(2.0)))
             z_serial = F.when(energy > 0, product / energy * F.sqrt(n)).otherwise(99.0)
             p_random = F.least(_tail(z_chi), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))
             expected = k * (1 - s2) + n * (k * s2 - 1)
-            variance = F.lit(2.0 * k * k) * (n - 1) / n * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
+            variance = 2.0 * k * k * (n - 1) / n * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
             by_counts = _tail((expected - chi) / F.sqrt(variance))
             p_word = F.least(2 * F.least(by_counts, by_turns), F.lit(1.0))
-            return F.struct(F.lit(encoding).alias("encoding"), F.size(x).alias("length"), p_random.alias("p_random"), p_word.alias("p_word"))
+            return F.struct(law["encoding"].alias("encoding"), F.size(x).alias("length"), p_random.alias("p_random"), p_word.alias("p_word"))
 
         return _let(steps, rest)
 
@@ -170,11 +186,7 @@ def _measured(token: Column, encoding: str) -> Column:
 
 def _inferred(token: Column) -> Column:
     """The measures of a token under the narrowest encoding that fits it, null if none does."""
-    digit, lower, upper = token.rlike("[0-9]"), token.rlike("[a-z]"), token.rlike("[A-Z]")
-    return (F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper), _measured(token, "hex"))
-            .when(token.rlike("^[A-Z2-7]+=*$") & digit & upper, _measured(token, "base32"))
-            .when(token.rlike("^[0-9a-z]+=*$") & digit & lower, _measured(token, "base36"))
-            .when(digit & lower & upper, _measured(token, "base64")))
+    return _let(_encoding(token), lambda law: F.when(law.isNotNull(), _measured(token, law)))
 
 
 def candidates(text: Column) -> Column:
