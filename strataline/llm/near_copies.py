@@ -105,7 +105,7 @@ def _compared(members: DataFrame, leaders: DataFrame, similarity: float) -> Data
 def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame | None:
     """(cls, component) of the classes that are linked, or None: ``members`` are (key, cls, fp, n), one row per class of a bucket.
 
-    In each round every bucket has leaders, first the least of it, later the least of each of 4, 16, ... parts, and
+    In each round every bucket has leaders, first the least of it, later the least of each of 16, 256, ... parts, and
     they are compared with the members that are not yet in their component. A bucket is done when those that never led
     are of one component: then all its pairs of different components have been compared, so no link that would join
     two components is lost, while a bucket of n near copies of one text costs n comparisons.
@@ -144,7 +144,7 @@ def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, sim
         else:
             all_members = members.withColumn("component", F.col("cls"))
         open_members = all_members.join(led, ["key", "cls"], "left_anti")
-        parts *= 4
+        parts *= 16
 
 
 def near_copy_groups(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
