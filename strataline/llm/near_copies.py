@@ -3,7 +3,7 @@
 Two texts with a Jaccard similarity of 0.8 over their five-word shingles differ in about ten of 64 SimHash bits, and a
 covering of that many bits would replicate each fingerprint to thousands of anchors. So anchors find the copies
 within a few bits, bands of min-hashes of the same shingles find the others, the SimHash distance throws out
-candidates that are too far apart to be similar, and the shingle sets of the remaining pairs are compared.
+candidates that are too far apart to be similar (256 bits of it), and the shingle sets of the remaining pairs are compared.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from .simhash import fingerprint_links
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Bands of min-hashes and their width: a pair of similarity 0.8 shares one in 998 of 1,000 cases.
 BANDS, BAND_ROWS = 16, 5
-#: Bits by which similar texts' fingerprints may differ: at similarity 0.8 more occur about once in 100,000 pairs.
-MAX_BITS = 24
+#: SimHashes of 64 bits that a candidate is compared by, and the bits in all by which similar texts may differ: at similarity 0.8
+#: more occur less than once in 10,000 pairs, the worst being texts of five shingles. Texts of similarity below 0.4 seldom pass.
+PRINTS, MAX_BITS = 4, 72
 #: Bits within which anchors find all pairs.
 ANCHOR_BITS = 2
 
@@ -37,12 +38,12 @@ def set_fingerprint(shingles) -> int:
 
 
 def text_sketches(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(row, id, digest, fp, n, keys) of (row, id, text).
+    """(row, id, digest, fp, wide, n, keys) of (row, id, text).
 
-    ``digest`` is that of the word sequence, A-Z as a-z; ``fp`` and ``n`` are of distinct shingles; ``keys`` are one number a band,
+    ``digest`` is that of the word sequence, A-Z as a-z; ``fp``, the SimHashes ``wide`` and ``n`` are of distinct shingles; ``keys`` are one number a band,
     none for a text of fewer words than a shingle, which is similar to its equals only.
     """
-    schema = struct("row long, id long, digest string, fp long, n long, keys longs")
+    schema = struct("row long, id long, digest string, fp long, wide longs, n long, keys longs")
 
     def run(columns, state=[]):
         from hashlib import md5
@@ -62,7 +63,9 @@ def text_sketches(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFr
                         key_of = mixed(key_of ^ mixed(shingles, 1 + band * BAND_ROWS + i).min(), band)
                     keys.append(int(key_of.view(np.int64)[0]))
             words = text.encode("utf-8").lower().split() if text else []
-            for name, value in zip(out, (row, key, md5(b" ".join(words)).hexdigest(), set_fingerprint(shingles), len(shingles), keys)):
+            prints = [set_fingerprint(mixed(shingles, 1000 + i)) for i in range(PRINTS)]
+            values = (row, key, md5(b" ".join(words)).hexdigest(), set_fingerprint(shingles), prints, len(shingles), keys)
+            for name, value in zip(out, values):
                 out[name].append(value)
         return out
 
@@ -77,12 +80,17 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, simila
         import numpy as np
 
         if not state:
-            state.append(Shingler())
-        last, one, out = None, None, {"a": [], "b": []}
+            state.extend([Shingler(), {}, 0])
+        out = {"a": [], "b": []}
         for a, b, text, other in zip(columns["a"], columns["b"], columns["text"], columns["other"]):
-            if a != last:
-                last, one = a, np.unique(state[0].shingles(text, shingle_words))
-            two = np.unique(state[0].shingles(other, shingle_words))
+            if state[2] > 4_000_000:  # bounds memory
+                state[1:] = [{}, 0]
+            sets = state[1]
+            for row, words in ((a, text), (b, other)):
+                if row not in sets:
+                    sets[row] = np.unique(state[0].shingles(words, shingle_words))
+                    state[2] += len(sets[row])
+            one, two = sets[a], sets[b]
             both = len(np.intersect1d(one, two, assume_unique=True))
             if both >= similarity * (len(one) + len(two) - both):
                 out["a"].append(a)
@@ -95,17 +103,17 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, simila
 
 def _compared(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
     """(a, b): each leader with the members of its bucket that other links have not joined to it and that may be similar."""
-    lead = leaders.select("key", F.col("cls").alias("_cls"), F.col("fp").alias("_fp"), F.col("n").alias("_n"), F.col("component").alias("_component"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp"))) <= MAX_BITS
+    lead = leaders.select("key", F.col("cls").alias("_cls"), F.col("wide").alias("_wide"), F.col("n").alias("_n"), F.col("component").alias("_component"))
+    near = sum(F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("_wide")[i])) for i in range(PRINTS)) <= MAX_BITS
     sizes = F.least("n", "_n") >= F.lit(similarity) * F.greatest("n", "_n")
     both = members.join(lead, "key").filter((F.col("component") != F.col("_component")) & near & sizes)
     return both.select(F.least("cls", "_cls").alias("a"), F.greatest("cls", "_cls").alias("b")).distinct()
 
 
 def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame | None:
-    """(cls, component) of the classes that are linked, or None: ``members`` are (key, cls, fp, n), one row per class of a bucket.
+    """(cls, component) of the classes that are linked, or None: ``members`` are (key, cls, wide, n), one row per class of a bucket.
 
-    In each round every bucket has leaders, first the least of it, later the least of each of 16, 256, ... parts, and
+    In each round every bucket has leaders, first the least of it, later the least of each of 64, 4096, ... parts, and
     they are compared with the members that are not yet in their component. A bucket is done when those that never led
     are of one component: then all its pairs of different components have been compared, so no link that would join
     two components is lost, while a bucket of n near copies of one text costs n comparisons.
@@ -144,7 +152,7 @@ def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, sim
         else:
             all_members = members.withColumn("component", F.col("cls"))
         open_members = all_members.join(led, ["key", "cls"], "left_anti")
-        parts *= 16
+        parts *= 64
 
 
 def near_copy_groups(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -158,11 +166,11 @@ def near_copy_groups(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, simila
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = materialise(sketches.groupBy("digest").agg(F.min("row").alias("cls"), F.min(order).alias("best")), "classes")
     heads = sketches.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").filter("n > 0")
-    heads = materialise(heads.select(F.col("row").alias("cls"), "fp", "n", "keys"), "heads")
+    heads = materialise(heads.select(F.col("row").alias("cls"), "fp", "wide", "n", "keys"), "heads")
     links = fingerprint_links(heads.select("fp").distinct(), ANCHOR_BITS)
     anchored = components(links, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("_print"))
-    by_print = heads.join(anchored, "fp", "left").select(F.xxhash64(F.lit("anchor"), F.coalesce("_print", "fp")).alias("key"), "cls", "fp", "n")
-    by_band = heads.select(F.explode("keys").alias("key"), "cls", "fp", "n")
+    by_print = heads.join(anchored, "fp", "left").select(F.xxhash64(F.lit("anchor"), F.coalesce("_print", "fp")).alias("key"), "cls", "wide", "n")
+    by_band = heads.select(F.explode("keys").alias("key"), "cls", "wide", "n")
     buckets = materialise(by_band.unionByName(by_print), "buckets")
     several = buckets.groupBy("key").count().filter("count > 1").select("key")
     members = materialise(buckets.join(several, "key", "left_semi"), "shared-buckets")
