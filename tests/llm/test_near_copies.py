@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from strataline.llm import near_copies
+from strataline.llm import near_copies, passages
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -96,3 +96,39 @@ def test_odd_rows(spark):
     got = sorted((r["_row"] for r in kept.collect()))
     assert got[0] == 3 and got[1] in (4, 5) and got[2:] == [6, 7, 9, 10, 11]
     assert near_copies.keep_first_copies(docs.limit(0)).count() == 0
+
+
+# passages
+
+def passage_texts(pairs):
+    """Two texts for each pair, that share a passage of 60 words with one word of it changed."""
+    rnd = random.Random(21)
+    fresh = lambda n: [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    texts = []
+    for _ in range(pairs):
+        passage = fresh(60)
+        changed = edited(rnd, passage[5:-5], 1)
+        texts += [" ".join(fresh(80) + words + fresh(80)) for words in (passage, passage[:5] + changed + passage[-5:])]
+    return texts
+
+
+def passages_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return passages.repeated_passages(docs).collect()
+
+
+def test_passages_with_a_changed_word(spark):
+    """Shingle similarity 0.836: the changed word may leave few matches on one side of it."""
+    texts = passage_texts(120)
+    found = {(r["doc_id"], r["other_id"]) for r in passages_of(spark, list(enumerate(texts)))}
+    pairs = {(2 * k + 1, 2 * k) for k in range(120)}
+    assert len(found & pairs) >= 0.95 * 120 and {max(p) // 2 for p in found} == {min(p) // 2 for p in found}
+
+
+def test_passages_of_texts_that_share_an_id(spark):
+    texts = passage_texts(4)
+    one_id = passages_of(spark, [(7, t) for t in texts] + [(7, "short"), (7, texts[0]), (None, texts[0])])
+    assert one_id and {(r["doc_id"], r["other_id"]) for r in one_id} == {(7, 7)}
+    two_ids = passages_of(spark, [(i % 2, t) for i, t in enumerate(texts)] + [(0, "short " * 3), (1, texts[0])])
+    assert {(r["doc_id"], r["other_id"]) for r in two_ids} >= {(1, 0)}
+    assert any(r["similarity"] == 1.0 and r["stop"] == len(texts[0].split()) for r in two_ids)
