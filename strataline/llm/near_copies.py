@@ -2,8 +2,8 @@
 
 Two texts with a Jaccard similarity of 0.8 over their five-word shingles differ in about ten of 64 SimHash bits, and a
 covering of that many bits would replicate each fingerprint to thousands of anchors. So anchors find the copies
-within a few bits, bands of min-hashes of the same shingles find the others, the SimHash distance throws out
-candidates that are too far apart to be similar (256 bits of it), and the shingle sets of the remaining pairs are compared.
+within a few bits, bands of min-hashes of the same shingles find the others, the share of equal min-hashes throws out
+candidates that are too far apart to be similar, and the shingle sets of the remaining pairs are compared.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from .simhash import fingerprint_links
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Bands of min-hashes and their width: a pair of similarity 0.8 shares one in 998 of 1,000 cases.
 BANDS, BAND_ROWS = 16, 5
-#: SimHashes of 64 bits that a candidate is compared by, and the bits in all by which similar texts may differ: at similarity 0.8
-#: more occur less than once in 10,000 pairs, the worst being texts of five shingles. Texts of similarity below 0.4 seldom pass.
-PRINTS, MAX_BITS = 4, 72
+#: Of the 80 min-hashes of the bands, how many a candidate has to share, told by a byte of each: at similarity 0.8 fewer
+#: are shared about once in 10,000 pairs; at 0.5 as many are shared once in 100.
+LEAST_SHARED = 51
 #: Bits within which anchors find all pairs.
 ANCHOR_BITS = 2
 
@@ -38,12 +38,12 @@ def set_fingerprint(shingles) -> int:
 
 
 def text_sketches(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(row, id, digest, fp, wide, n, keys) of (row, id, text).
+    """(row, id, digest, fp, least, n, keys) of (row, id, text).
 
-    ``digest`` is that of the word sequence, A-Z as a-z; ``fp``, the SimHashes ``wide`` and ``n`` are of distinct shingles; ``keys`` are one number a band,
-    none for a text of fewer words than a shingle, which is similar to its equals only.
+    ``digest`` is that of the word sequence, A-Z as a-z; ``fp`` and ``n`` are of distinct shingles; ``least`` are the min-hashes, a
+    byte of each, eight to a number; ``keys`` are one number a band, none for a text of fewer words than a shingle, which is similar to its equals only.
     """
-    schema = struct("row long, id long, digest string, fp long, wide longs, n long, keys longs")
+    schema = struct("row long, id long, digest string, fp long, least longs, n long, keys longs")
 
     def run(columns, state=[]):
         from hashlib import md5
@@ -55,16 +55,18 @@ def text_sketches(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFr
         out = {n: [] for n in schema.names}
         for row, key, text in zip(columns["row"], columns["id"], columns["text"]):
             shingles = np.unique(state[0].shingles(text, shingle_words))
-            keys = []
+            keys, least = [], np.zeros(BANDS * BAND_ROWS, np.uint64)
             if len(shingles):
                 for band in range(BANDS):
                     key_of = np.zeros(1, np.uint64)
                     for i in range(BAND_ROWS):
-                        key_of = mixed(key_of ^ mixed(shingles, 1 + band * BAND_ROWS + i).min(), band)
+                        at = band * BAND_ROWS + i
+                        least[at] = mixed(shingles, 1 + at).min()
+                        key_of = mixed(key_of ^ least[at], band)
                     keys.append(int(key_of.view(np.int64)[0]))
             words = text.encode("utf-8").lower().split() if text else []
-            prints = [set_fingerprint(mixed(shingles, 1000 + i)) for i in range(PRINTS)]
-            values = (row, key, md5(b" ".join(words)).hexdigest(), set_fingerprint(shingles), prints, len(shingles), keys)
+            sketch = mixed(least, 0).astype(np.uint8).view(np.int64).tolist()
+            values = (row, key, md5(b" ".join(words)).hexdigest(), set_fingerprint(shingles), sketch, len(shingles), keys)
             for name, value in zip(out, values):
                 out[name].append(value)
         return out
@@ -101,31 +103,45 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, simila
     return map_columns(pairs.join(second, "b").join(first, "a").select("a", "b", "text", "other"), run, schema, 32)
 
 
-def _compared(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each leader with the members of its bucket that other links have not joined to it and that may be similar."""
-    lead = leaders.select("key", F.col("cls").alias("_cls"), F.col("wide").alias("_wide"), F.col("n").alias("_n"), F.col("component").alias("_component"))
-    near = sum(F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("_wide")[i])) for i in range(PRINTS)) <= MAX_BITS
+def _differing(one: str, other: str):
+    """How many bytes of the sketches differ: a byte's bits are folded onto its lowest one."""
+    total = F.lit(0)
+    for i in range(BANDS * BAND_ROWS // 8):
+        bits = F.col(one)[i].bitwiseXOR(F.col(other)[i])
+        for n in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, n))
+        total = total + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
+def _compared(marked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each member that ``leads`` with the others of its bucket that links have not joined to it and that may be similar."""
+    lead = marked.filter("leads").select("key", F.col("cls").alias("_cls"), F.col("least").alias("_least"), F.col("n").alias("_n"),
+                                         F.col("component").alias("_component"))
+    once = F.col("leads").isNull() | (F.col("cls") < F.col("_cls"))
     sizes = F.least("n", "_n") >= F.lit(similarity) * F.greatest("n", "_n")
-    both = members.join(lead, "key").filter((F.col("component") != F.col("_component")) & near & sizes)
+    near = _differing("least", "_least") <= BANDS * BAND_ROWS - LEAST_SHARED
+    both = marked.join(lead, "key").filter((F.col("component") != F.col("_component")) & once & sizes & near)
     return both.select(F.least("cls", "_cls").alias("a"), F.greatest("cls", "_cls").alias("b")).distinct()
 
 
 def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame | None:
-    """(cls, component) of the classes that are linked, or None: ``members`` are (key, cls, wide, n), one row per class of a bucket.
+    """(cls, component) of the classes that are linked, or None: ``members`` are (key, cls, least, n), one row per class of a bucket.
 
     In each round every bucket has leaders, first the least of it, later the least of each of 64, 4096, ... parts, and
-    they are compared with the members that are not yet in their component. A bucket is done when those that never led
+    they are compared with the members that have not led and are not yet in their component. A bucket is done when those that never led
     are of one component: then all its pairs of different components have been compared, so no link that would join
     two components is lost, while a bucket of n near copies of one text costs n comparisons.
     """
     open_members = members.withColumn("component", F.col("cls"))
-    all_members, met, links, groups, parts = open_members, None, None, None, 1
+    met, links, groups, parts = None, None, None, 1
     led = None
     while True:
         part = F.pmod(F.xxhash64("cls"), F.lit(parts))
-        least = open_members.groupBy("key", part.alias("_part")).agg(F.min("cls").alias("cls")).select("key", "cls")
-        leaders = materialise(open_members.join(least, ["key", "cls"], "left_semi"), "leaders")
-        pairs = _compared(all_members, leaders, similarity)
+        least = open_members.groupBy("key", part.alias("_part")).agg(F.min("cls").alias("cls")).select("key", "cls", F.lit(True).alias("leads"))
+        marked = materialise(open_members.join(least, ["key", "cls"], "left"), "leaders")
+        leaders = marked.filter("leads")
+        pairs = _compared(marked, similarity)
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -147,11 +163,11 @@ def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, sim
         members = materialise(now.join(unsettled, "key", "left_semi").drop("component"), "open-buckets")
         if members.isEmpty():
             return None if groups is None else groups.select("cls", F.col("_group").alias("component"))
+        open_members = members.join(led, ["key", "cls"], "left_anti")
         if groups is not None:
-            all_members = members.join(groups, "cls", "left").withColumn("component", F.coalesce("_group", "cls")).drop("_group")
+            open_members = open_members.join(groups, "cls", "left").withColumn("component", F.coalesce("_group", "cls")).drop("_group")
         else:
-            all_members = members.withColumn("component", F.col("cls"))
-        open_members = all_members.join(led, ["key", "cls"], "left_anti")
+            open_members = open_members.withColumn("component", F.col("cls"))
         parts *= 64
 
 
@@ -166,11 +182,11 @@ def near_copy_groups(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, simila
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = materialise(sketches.groupBy("digest").agg(F.min("row").alias("cls"), F.min(order).alias("best")), "classes")
     heads = sketches.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").filter("n > 0")
-    heads = materialise(heads.select(F.col("row").alias("cls"), "fp", "wide", "n", "keys"), "heads")
+    heads = materialise(heads.select(F.col("row").alias("cls"), "fp", "least", "n", "keys"), "heads")
     links = fingerprint_links(heads.select("fp").distinct(), ANCHOR_BITS)
     anchored = components(links, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("_print"))
-    by_print = heads.join(anchored, "fp", "left").select(F.xxhash64(F.lit("anchor"), F.coalesce("_print", "fp")).alias("key"), "cls", "wide", "n")
-    by_band = heads.select(F.explode("keys").alias("key"), "cls", "wide", "n")
+    by_print = heads.join(anchored, "fp", "left").select(F.xxhash64(F.lit("anchor"), F.coalesce("_print", "fp")).alias("key"), "cls", "least", "n")
+    by_band = heads.select(F.explode("keys").alias("key"), "cls", "least", "n")
     buckets = materialise(by_band.unionByName(by_print), "buckets")
     several = buckets.groupBy("key").count().filter("count > 1").select("key")
     members = materialise(buckets.join(several, "key", "left_semi"), "shared-buckets")
