@@ -20,8 +20,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Bands of min-hashes and their width: a pair of similarity 0.8 shares one in 998 of 1,000 cases.
 BANDS, BAND_ROWS = 16, 5
 #: Of the 80 min-hashes of the bands, how many a candidate has to share, told by a byte of each: at similarity 0.8 fewer
-#: are shared about once in 10,000 pairs; at 0.5 as many are shared once in 100.
-LEAST_SHARED = 51
+#: are shared about once in a million pairs; at 0.4 as many are shared about once in 400.
+LEAST_SHARED = 45
 #: Bits within which anchors find all pairs.
 ANCHOR_BITS = 2
 
