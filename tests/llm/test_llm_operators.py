@@ -107,6 +107,14 @@ def test_secret_base_spans(spark, documents, odd_texts):
         assert r["s"] == brute_spans(r["text"] or "")
 
 
+def test_secret_keywords_in_either_case(spark):
+    """Case is that of Unicode, as regular expressions take it: the long s and the Kelvin sign are an s and a k."""
+    texts = ["pa\u017f\u017fword=abcdefghijkl", "TO\u212aEN: abcdefghijkl", "api_\u212aey='abc\u017fefghijkl'", "to\u212aen=abcdefghijk", "\u017fkret=abcdefghijkl"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["s"] for r in df.select("id", secrets.spans_text(secrets.secret_spans(F.col("text"), {})).alias("s")).collect()}
+    assert got == {0: "assign:0:21", 1: "assign:0:19", 2: "assign:0:21", 3: "", 4: ""}
+
+
 def test_secret_battery(spark):
     rnd = random.Random(2)
     key = "".join(rnd.choice(secrets.ALPHABETS["base64"]) for _ in range(200))
