@@ -191,3 +191,10 @@ def test_neighbour_index_skips_cells(spark):
         assert abs(np.sort(distance[r["id"]])[r["rank"] - 1] - r["distance"]) < 1e-9
         assert abs(distance[r["id"], r["neighbor_id"]] - r["distance"]) < 1e-9
     assert V.knn_graph(df.limit(0), "id", "v").count() == 0
+
+
+def test_neighbour_questions_are_not_broadcast(spark):
+    """A block asks in many cells, far more than the planner takes the table for."""
+    df = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(50)], "id long, v array<double>")
+    plan = V.knn_graph(df, "id", "v", 4, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
