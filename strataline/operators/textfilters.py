@@ -163,22 +163,29 @@ def script_profile(df: DataFrame, text: str, scripts: tuple[str, ...] = SCRIPTS)
     ``scripts``), null without letters. ``mixed_words`` counts runs of letters in which a second of the scripts occurs. A null
     text has no letters.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
     names = [f"n_{s.lower()}" for s in scripts]
-    counted = df.select("*", F.regexp_count(whole, F.lit(r"\p{L}")).cast("bigint").alias("n_letters"),
-                        *[F.regexp_count(whole, F.lit(rf"[\p{{Is{s}}}&&\p{{L}}]")).cast("bigint").alias(n) for s, n in zip(scripts, names)])
-    words = F.regexp_extract_all(whole, F.lit(r"\p{L}+"), F.lit(0))
-
-    def is_mixed(word: Column) -> Column:
-        inside = [word.rlike(rf"[\p{{Is{s}}}&&\p{{L}}]").cast("int") for s in scripts]
-        return ~word.rlike(r"^[A-Za-z]+$") & (sum(inside[1:], inside[0]) > 1)  # most words are plain and pass at once
+    inside = {s: ("A-Za-z" if s == "Latin" else "") + rf"\p{{Is{s}}}" for s in scripts}  # plain letters need no look at their script
+    # counts are lengths of what is left when other runs are taken out: a match a run, not one a letter; only letters
+    # outside the first script, few in most texts, are looked through for the other scripts
+    whole, letters, rest = (f"_{n}_{text}" for n in ("whole", "letters", "rest"))
+    counted = df.select("*", F.coalesce(F.col(text), F.lit("")).alias(whole))
+    counted = counted.select("*", F.regexp_replace(whole, r"[^A-Za-z\p{L}]+", "").alias(letters))
+    counted = counted.select("*", F.regexp_replace(letters, f"[{inside[scripts[0]]}]+", "").alias(rest))
+    counts = [F.length(letters) - F.length(rest), *[F.length(F.regexp_replace(rest, f"[^{inside[s]}]+", "")) for s in scripts[1:]]]
+    counted = counted.select("*", F.length(letters).cast("bigint").alias("n_letters"), *[c.cast("bigint").alias(n) for c, n in zip(counts, names)])
+    # a word of one script ends where its letters of that script, or of none of them, end
+    quick = {s: ("A-Za-z" if s == "Latin" else "") + rf"[\p{{L}}&&\p{{Is{s}}}]" for s in scripts}
+    plain = "|".join(rf"[{quick[s]}[\p{{L}}&&[^{''.join(inside[o] for o in scripts if o != s)}]]]*+" if len(scripts) > 1 else r"\p{L}*+" for s in scripts)
+    mixed = F.regexp_count(whole, F.lit(rf"(?<!\p{{L}})(?!(?:{plain})(?!\p{{L}}))\p{{L}}++"))
+    several = sum((F.col(n) > 0).cast("int") for n in names) > 1
+    counted = counted.select("*", F.when(several, mixed).otherwise(0).cast("bigint").alias("mixed_words")).drop(whole, letters, rest)
 
     most = F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
     dominant = F.lit(None).cast("string")
     for s, n in reversed(list(zip(scripts, names))):
         dominant = F.when((F.col(n) == most) & (most > 0), s).otherwise(dominant)
-    return counted.select("*", dominant.alias("dominant"), F.try_divide(most.cast("double"), F.col("n_letters")).alias("dominant_share"),
-                          F.size(F.filter(words, is_mixed)).cast("bigint").alias("mixed_words"))
+    share = F.try_divide(most.cast("double"), F.col("n_letters"))
+    return counted.select(*df.columns, "n_letters", *names, dominant.alias("dominant"), share.alias("dominant_share"), "mixed_words")
 
 
 def char_class_filter(df: DataFrame, text: str, allowed: tuple[str, ...], min_percent: int = 90, scripts: tuple[str, ...] = SCRIPTS) -> DataFrame:

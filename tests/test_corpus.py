@@ -138,6 +138,24 @@ def test_scripts(spark):
     assert [rows[i]["kept"] for i in range(9)] == [True, True, True, True, False, False, False, False, False]
 
 
+def test_scripts_match_brute_force(spark):
+    """Letters are taken out run by run, not matched one by one; numerals of a script are no letters."""
+    rng = np.random.default_rng(3)
+    kinds = {"Latin": "aZ\u00e9\u017f", "Greek": "\u03b1\u03a9", "Cyrillic": "\u043e\u0416", "Han": "\u6f22\U00020000", "Hangul": "\ud55c", "Thai": "\u0e01"}
+    other, none = "\u0531\u10d0", "\u2167\u2160\u3007 -\u0301\u0e31\U0001f600\n"  # letters of no listed script; no letters
+    script = {c: s for s, letters in kinds.items() for c in letters}
+    alphabet = list("".join(kinds.values()) + other + none) + ["a", " "] * 4
+    cases = ["".join(rng.choice(alphabet, rng.integers(0, 25))) for _ in range(600)]
+    judged = T.char_class_filter(texts(spark, cases), "text", ("Latin",))
+    for r in judged.collect():
+        text = cases[r["id"]]
+        words = "".join(c if c in script or c in other else " " for c in text).split()
+        expected = [sum(map(len, words)), *[sum(script.get(c) == s for c in text) for s in kinds]]
+        assert [r["n_letters"], *[r[f"n_{s.lower()}"] for s in kinds]] == expected, text
+        assert r["mixed_words"] == sum(len({script[c] for c in w if c in script}) > 1 for w in words), text
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("regexp_count") <= 1
+
+
 def test_topics_split_hot_terms(spark):
     terms = spark.createDataFrame([("t", "hot", 1.0), ("t", "rare", 2.0), ("u", "hot", 0.5), ("v", "absent", 1.0)], "topic string, term string, weight double")
     rows = texts(spark, ["Hot hot"] * 300 + ["rare hot"] + ["nothing", None, ""])
