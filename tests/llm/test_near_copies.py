@@ -132,3 +132,16 @@ def test_passages_of_texts_that_share_an_id(spark):
     two_ids = passages_of(spark, [(i % 2, t) for i, t in enumerate(texts)] + [(0, "short " * 3), (1, texts[0])])
     assert {(r["doc_id"], r["other_id"]) for r in two_ids} >= {(1, 0)}
     assert any(r["similarity"] == 1.0 and r["stop"] == len(texts[0].split()) for r in two_ids)
+
+
+def test_texts_that_only_their_base_resembles_are_not_compared(spark, monkeypatch):
+    """Variants of one text that are too far from it, and so from one another, to be linked: pairs grow with the group, not with its square."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(edited(rnd, words, 1 + i % 6)) for i in range(200)] + [" ".join(words)]
+    compared = []
+    similar_pairs = near_copies.similar_pairs
+    monkeypatch.setattr(near_copies, "similar_pairs", lambda pairs, *rest: compared.append(pairs.count()) or similar_pairs(pairs, *rest))
+    expected, found = slow_groups(texts), groups_of(spark, texts)
+    assert sum(f == e for f, e in zip(found, expected)) >= 0.98 * len(texts)
+    assert sum(compared) <= 15 * len(texts)
