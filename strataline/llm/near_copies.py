@@ -87,7 +87,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, simila
             state.extend([Shingler(), {}, 0])
         out = {"a": [], "b": []}
         for a, b, text, other in zip(columns["a"], columns["b"], columns["text"], columns["other"]):
-            if state[2] > 4_000_000:  # bounds memory
+            if state[2] > 1_000_000:  # bounds memory
                 state[1:] = [{}, 0]
             sets = state[1]
             for row, words in ((a, text), (b, other)):

@@ -112,8 +112,12 @@ def _anchors(prints, max_bits: int, tables):
 
 
 def anchor_replicas(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(anchor, fp, home): one row per anchor within covering radius + ``max_bits`` of each fingerprint."""
+    """(anchor, fp, home): one row per anchor within covering radius + ``max_bits`` of each fingerprint.
+
+    Each fingerprint becomes some 170 rows, so fingerprints that fit one small partition are spread over as many as a shuffle has.
+    """
     tables = _covering_tables(max_bits)
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(columns):
         import numpy as np
@@ -122,7 +126,7 @@ def anchor_replicas(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         row, anchor, home = _anchors(fp, max_bits, tables)
         return {"anchor": anchor, "fp": fp[row], "home": home[row] == anchor}
 
-    return map_columns(prints.select("fp"), run, struct("anchor long, fp long, home boolean"), 2048)
+    return map_columns(prints.select("fp").repartition(parts, "fp"), run, struct("anchor long, fp long, home boolean"), 2048)
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = 2, anchor_limit: int = ANCHOR_LIMIT) -> DataFrame:

@@ -145,3 +145,10 @@ def test_texts_that_only_their_base_resembles_are_not_compared(spark, monkeypatc
     expected, found = slow_groups(texts), groups_of(spark, texts)
     assert sum(f == e for f, e in zip(found, expected)) >= 0.98 * len(texts)
     assert sum(compared) <= 15 * len(texts)
+
+
+def test_replicas_of_few_prints_are_not_one_partition(spark):
+    from strataline.llm import simhash
+
+    prints = spark.range(300).selectExpr("xxhash64(id) as fp").coalesce(1)
+    assert simhash.anchor_replicas(prints).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
