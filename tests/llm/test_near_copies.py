@@ -147,6 +147,27 @@ def test_texts_that_only_their_base_resembles_are_not_compared(spark, monkeypatc
     assert sum(compared) <= 15 * len(texts)
 
 
+def test_passages_of_a_chain_of_variants_stay_connected(spark):
+    rnd = random.Random(31)
+    fresh = lambda n: [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    hashes = passages.Shingler()
+    while True:  # a passage whose variants have the same least shingle under both functions, half a passage before any change
+        variants = [fresh(50)]
+        for place in (30, 36, 42):
+            variants.append(variants[-1][:place] + fresh(1) + variants[-1][place + 1:])
+        bases = [hashes.shingles(" ".join(v), 5) for v in variants]
+        if all(int(passages.mixed(b, fn).argmin()) <= 2 for b in bases for fn in (1, 2)):
+            break
+    # neighbours of the chain are similar, others are not; the two ends have the least ids and lead first
+    texts = [" ".join(fresh(80) + variants[k]) for k in (0, 3, 1, 2) for _ in range(9)]
+    of = list(range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in passages.repeated_passages(docs, hashes=2).collect():
+        one, two = of[r["doc_id"]], of[r["other_id"]]
+        of = [min(one, two) if x in (one, two) else x for x in of]
+    assert set(of) == {0}
+
+
 def test_replicas_of_few_prints_are_not_one_partition(spark):
     from strataline.llm import simhash
 
