@@ -114,7 +114,7 @@ def _anchors(prints, max_bits: int, tables):
 def anchor_replicas(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """(anchor, fp, home): one row per anchor within covering radius + ``max_bits`` of each fingerprint.
 
-    Each fingerprint becomes some 170 rows, so fingerprints that fit one small partition are spread over as many as a shuffle has.
+    Each fingerprint becomes some 60 rows (at two bits), so fingerprints that fit one small partition are spread over as many as a shuffle has.
     """
     tables = _covering_tables(max_bits)
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
