@@ -22,8 +22,10 @@ BANDS, BAND_ROWS = 16, 5
 #: Of the 80 min-hashes of the bands, how many a candidate has to share, told by a byte of each: at similarity 0.8 fewer
 #: are shared about once in a million pairs; at 0.4 as many are shared about once in 400.
 LEAST_SHARED = 45
-#: Members from which on a bucket that one leader has not settled has the shingles counted that only one of its texts has.
+#: Members from which on a bucket that one leader has not settled has parities taken of its texts.
 CROWD = 64
+#: Bits of a text's parities for each of its shingles, at least.
+PARITY_BITS = 4
 #: Bits within which anchors find all pairs.
 ANCHOR_BITS = 2
 
@@ -116,59 +118,77 @@ def _differing(one: str, other: str):
     return total
 
 
-def own_shingles(crowd: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(cls, own): how many shingles of each class of ``crowd`` (cls) no other class of it has."""
-    schema = struct("cls long, shingles longs")
+def parities(shingles):
+    """Of each residue of the hashes, whether an odd number of ``shingles`` has it, as signed 64-bit words, a power of two of them.
+
+    Shingles that two texts share cancel out, so the bits that differ are at most as many as the shingles that only one of the two has.
+    """
+    import numpy as np
+
+    width = 256
+    while width < PARITY_BITS * len(shingles):
+        width *= 2
+    odd = np.bincount((shingles % np.uint64(width)).astype(np.int64), minlength=width) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def text_parities(classes: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(cls, bits): the parities of each class of ``classes`` (cls)."""
+    schema = struct("cls long, bits longs")
 
     def run(columns, state=[]):
         import numpy as np
 
         if not state:
             state.append(Shingler())
-        found = [np.unique(state[0].shingles(text, shingle_words)).view(np.int64).tolist() for text in columns["text"]]
-        return {"cls": columns["row"], "shingles": found}
+        return {"cls": columns["row"], "bits": [parities(np.unique(state[0].shingles(text, shingle_words))).tolist() for text in columns["text"]]}
+
+    wanted = classes.select(F.col("cls").alias("row"))
+    return map_columns(texts.join(wanted, "row", "left_semi").select("row", "text"), run, schema, 128)
+
 
-    crowd = crowd.select("cls").distinct()
-    of_class = map_columns(texts.join(crowd.select(F.col("cls").alias("row")), "row", "left_semi").select("row", "text"), run, schema, 128)
-    once = of_class.select("cls", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("cls").alias("cls"), F.count("*").alias("_n"))
-    counts = once.filter("_n = 1").groupBy("cls").agg(F.count("*").alias("own"))
-    return crowd.join(counts, "cls", "left").select("cls", F.coalesce("own", F.lit(0)).alias("own"))
+def _odd_bits(one: str, other: str):
+    """How many bits of the parities differ, the longer ones folded to the length of the others; null where those are less than half as long."""
+    size = F.least(F.size(one), F.size(other))
+    folded = [F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(x))
+              for x in (one, other)]
+    differ = F.zip_with(*folded, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.when(F.greatest(F.size(one), F.size(other)) <= 2 * size, F.aggregate(differ, F.lit(0), lambda total, n: total + n))
 
 
 def _compared(marked: DataFrame, similarity: float) -> DataFrame:
     """(a, b): each member that ``leads`` with the others of its bucket that links have not joined to it and that may be similar.
 
-    ``own`` shingles of one text are missing from the other: two texts share at most those of either that are not its
-    own, and their union has all of the one and the own ones of the other. Pairs that cannot be similar then are left out; no other is.
+    Of two similar texts' shingles at most the share (1 - s) / (1 + s) is in one text only, and their parities (``bits``) differ
+    in no more places. Pairs that cannot be similar then are left out; no other is.
     """
     lead = marked.filter("leads").select("key", F.col("cls").alias("_cls"), F.col("least").alias("_least"), F.col("n").alias("_n"),
-                                         F.col("own").alias("_own"), F.col("component").alias("_component"))
+                                         F.col("bits").alias("_bits"), F.col("component").alias("_component"))
     once = F.col("leads").isNull() | (F.col("cls") < F.col("_cls"))
     sizes = F.least("n", "_n") >= F.lit(similarity) * F.greatest("n", "_n")
-    shared = F.least(F.col("n") - F.col("own"), F.col("_n") - F.col("_own"))
-    either = F.greatest(F.col("n") + F.col("_own"), F.col("_n") + F.col("own"))
-    sizes = sizes & (F.col("own").isNull() | F.col("_own").isNull() | (shared >= F.lit(similarity) * either))
     near = _differing("least", "_least") <= BANDS * BAND_ROWS - LEAST_SHARED
-    both = marked.join(lead, "key").filter((F.col("component") != F.col("_component")) & once & sizes & near)
+    single = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("_n")) + 1e-6
+    odd = F.coalesce(_odd_bits("bits", "_bits") <= single, F.lit(True))  # null: no parities to compare
+    both = marked.join(lead, "key").filter((F.col("component") != F.col("_component")) & once & sizes & near & odd)
     return both.select(F.least("cls", "_cls").alias("a"), F.greatest("cls", "_cls").alias("b")).distinct()
 
 
 def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame | None:
     """(cls, component) of the classes that are linked, or None: ``members`` are (key, cls, least, n), one row per class of a bucket.
 
-    In each round every bucket has leaders, first the least of it, then the one with fewest shingles of its own, later that of each of 64, 4096, ... parts, and
+    In each round every bucket has leaders, first the least of it, then the one of most crowded buckets, later that of each of 64, 4096, ... parts, and
     they are compared with the members that have not led and are not yet in their component. A bucket is done when those that never led
     are of one component: then all its pairs of different components have been compared, so no link that would join
     two components is lost, while a bucket of n near copies of one text costs n comparisons.
-    In crowded buckets that one leader has not settled, texts whose own shingles rule a link out are not compared.
+    In crowded buckets that one leader has not settled, texts whose parities rule a link out are not compared.
     """
-    members = members.withColumn("own", F.lit(None).cast("bigint"))
+    members = members.withColumn("shares", F.lit(0).cast("bigint")).withColumn("bits", F.lit(None).cast("array<bigint>"))
     open_members = members.withColumn("component", F.col("cls"))
-    met, links, groups, own, parts = None, None, None, None, 1
+    met, links, groups, crowd, parts = None, None, None, None, 1
     led = None
     while True:
         part = F.pmod(F.xxhash64("cls"), F.lit(parts))
-        first = F.min(F.struct(F.coalesce("own", F.lit(0)), "cls")).alias("_first")  # with few shingles of its own a text is near to many
+        first = F.min(F.struct(-F.col("shares"), "cls")).alias("_first")  # a text that shares many bands is near to many
         least = open_members.groupBy("key", part.alias("_part")).agg(first).select("key", F.col("_first.cls").alias("cls"), F.lit(True).alias("leads"))
         marked = materialise(open_members.join(least, ["key", "cls"], "left"), "leaders")
         leaders = marked.filter("leads")
@@ -194,10 +214,12 @@ def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, sim
         members = materialise(now.join(unsettled, "key", "left_semi").drop("component"), "open-buckets")
         if members.isEmpty():
             return None if groups is None else groups.select("cls", F.col("_group").alias("component"))
-        if own is None:
+        if crowd is None:
             crowded = members.groupBy("key").count().filter(F.col("count") > CROWD).select("key")
-            own = materialise(own_shingles(members.join(crowded, "key", "left_semi"), texts, shingle_words), "own-shingles")
-            members = materialise(members.drop("own").join(own, "cls", "left"), "open-buckets")
+            crowd = members.join(crowded, "key", "left_semi").groupBy("cls").agg(F.count("*").alias("_shares"))
+            crowd = materialise(crowd.join(text_parities(crowd, texts, shingle_words).withColumnRenamed("bits", "_bits"), "cls"), "parities")
+            of_crowd = [F.coalesce("_shares", F.lit(0)).alias("shares"), F.col("_bits").alias("bits")]
+            members = materialise(members.join(crowd, "cls", "left").select("key", "cls", "least", "n", *of_crowd), "open-buckets")
         else:
             parts *= 64
         open_members = members.join(led, ["key", "cls"], "left_anti")

@@ -147,6 +147,40 @@ def test_texts_that_only_their_base_resembles_are_not_compared(spark, monkeypatc
     assert sum(compared) <= 15 * len(texts)
 
 
+def test_variants_that_all_miss_the_similarity_are_not_compared(spark, monkeypatch):
+    """Each pair of variants has a similarity of about 0.66, and shingles that one text alone has do not rule it out."""
+    rnd = random.Random(10)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(edited(rnd, words, 3)) for _ in range(150)]
+    texts += [" ".join(edited(rnd, text.split(), 1)) for text in texts[:20]]
+    compared = []
+    similar_pairs = near_copies.similar_pairs
+    monkeypatch.setattr(near_copies, "similar_pairs", lambda pairs, *rest: compared.append(pairs.count()) or similar_pairs(pairs, *rest))
+    expected, found = slow_groups(texts), groups_of(spark, texts)
+    assert sum(f == e for f, e in zip(found, expected)) >= 0.98 * len(texts) and len(set(expected)) < len(texts) - 15
+    assert sum(compared) <= 15 * len(texts)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_parities_rule_no_similar_pair_out(spark, similarity):
+    """Sets of all sizes, pairs just similar enough and their parities of equal and of other lengths."""
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    rows, differing = [], []
+    for n in [1, 2, 9, 63, 64, 65, 100, 127, 129, 500, 1023, 1025, 4000]:
+        for part in (0.0, 0.3, 1.0):
+            one = np.unique(rnd.integers(0, 2 ** 63, n).astype(np.uint64))
+            most = int((1 - similarity) * n)  # left out of one and put into the other, so that the pair stays similar
+            other = np.unique(np.append(one[int(most * part):], rnd.integers(0, 2 ** 63, int(most * (1 - part) / 2)).astype(np.uint64)))
+            rows.append((near_copies.parities(one).tolist(), near_copies.parities(other).tolist()))
+            differing.append(len(np.setxor1d(one, other)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_copies._odd_bits("a", "b").alias("n"))
+    found = [r["n"] for r in df.collect()]
+    assert all(0 <= n <= most and (n - most) % 2 == 0 for n, most in zip(found, differing)) and any(len(a) != len(b) for a, b in rows)
+    assert sum(found) > 0.8 * sum(differing)
+
+
 def test_passages_of_a_chain_of_variants_stay_connected(spark):
     rnd = random.Random(31)
     fresh = lambda n: [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
