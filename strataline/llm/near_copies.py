@@ -176,22 +176,20 @@ def _compared(marked: DataFrame, similarity: float) -> DataFrame:
 def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame | None:
     """(cls, component) of the classes that are linked, or None: ``members`` are (key, cls, least, n), one row per class of a bucket.
 
-    In each round every bucket has leaders, first the least of it, then the one of most crowded buckets, later that of each of 64, 4096, ... parts, and
-    they are compared with the members that have not led and are not yet in their component. A bucket is done when those that never led
+    In each round every bucket has leaders, first the least of it, then the one of most crowded buckets, later that of each of 64, 4096, ... parts (all of
+    a bucket with no more members), and they are compared with the members that have not led and are not yet in their component. A bucket is done when those that never led
     are of one component: then all its pairs of different components have been compared, so no link that would join
     two components is lost, while a bucket of n near copies of one text costs n comparisons.
     In crowded buckets that one leader has not settled, texts whose parities rule a link out are not compared.
     """
     members = members.withColumn("shares", F.lit(0).cast("bigint")).withColumn("bits", F.lit(None).cast("array<bigint>"))
-    open_members = members.withColumn("component", F.col("cls"))
+    members = members.withColumn("component", F.col("cls")).withColumn("size", F.lit(None).cast("bigint"))
     met, links, groups, crowd, parts = None, None, None, None, 1
-    led = None
     while True:
-        part = F.pmod(F.xxhash64("cls"), F.lit(parts))
+        part = F.when(F.col("size") <= parts, F.xxhash64("cls")).otherwise(F.pmod(F.xxhash64("cls"), F.lit(parts)))
         first = F.min(F.struct(-F.col("shares"), "cls")).alias("_first")  # a text that shares many bands is near to many
-        least = open_members.groupBy("key", part.alias("_part")).agg(first).select("key", F.col("_first.cls").alias("cls"), F.lit(True).alias("leads"))
-        marked = materialise(open_members.join(least, ["key", "cls"], "left"), "leaders")
-        leaders = marked.filter("leads")
+        least = members.groupBy("key", part.alias("_part")).agg(first).select("key", F.col("_first.cls").alias("cls"), F.lit(True).alias("leads"))
+        marked = materialise(members.join(least, ["key", "cls"], "left"), "leaders")
         pairs = _compared(marked, similarity)
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
@@ -199,34 +197,24 @@ def linked_classes(members: DataFrame, texts: DataFrame, shingle_words: int, sim
         met = pairs if met is None else met.unionByName(pairs)
         wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
         found = materialise(similar_pairs(pairs, texts.join(wanted, "row", "left_semi"), shingle_words, similarity), "similar")
-        fresh = not found.isEmpty()
-        if fresh:
+        # those that have led have been compared with all others of their bucket and are not needed any more
+        never_led = marked.filter("leads is null").drop("leads", "size")
+        if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             groups = materialise(components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("_group")), "components")
-        led = leaders.select("key", "cls") if led is None else led.unionByName(leaders.select("key", "cls"))
-        now = members
-        if groups is not None:
-            now = now.join(groups, "cls", "left").withColumn("component", F.coalesce("_group", "cls")).drop("_group")
-        else:
-            now = now.withColumn("component", F.col("cls"))
-        never_led = now.join(led, ["key", "cls"], "left_anti")
-        unsettled = never_led.groupBy("key").agg((F.min("component") < F.max("component")).alias("_open")).filter("_open").select("key")
-        members = materialise(now.join(unsettled, "key", "left_semi").drop("component"), "open-buckets")
+            never_led = never_led.join(groups, "cls", "left").withColumn("component", F.coalesce("_group", "cls")).drop("_group")
+        unsettled = never_led.groupBy("key").agg((F.min("component") < F.max("component")).alias("_open"), F.count("*").alias("size"))
+        members = materialise(never_led.join(unsettled.filter("_open").drop("_open"), "key"), "open-buckets")
         if members.isEmpty():
             return None if groups is None else groups.select("cls", F.col("_group").alias("component"))
         if crowd is None:
-            crowded = members.groupBy("key").count().filter(F.col("count") > CROWD).select("key")
-            crowd = members.join(crowded, "key", "left_semi").groupBy("cls").agg(F.count("*").alias("_shares"))
+            # one of each bucket has led
+            crowd = members.filter(F.col("size") >= CROWD).groupBy("cls").agg(F.count("*").alias("_shares"))
             crowd = materialise(crowd.join(text_parities(crowd, texts, shingle_words).withColumnRenamed("bits", "_bits"), "cls"), "parities")
             of_crowd = [F.coalesce("_shares", F.lit(0)).alias("shares"), F.col("_bits").alias("bits")]
-            members = materialise(members.join(crowd, "cls", "left").select("key", "cls", "least", "n", *of_crowd), "open-buckets")
+            members = materialise(members.join(crowd, "cls", "left").select("key", "cls", "least", "n", *of_crowd, "component", "size"), "open-buckets")
         else:
             parts *= 64
-        open_members = members.join(led, ["key", "cls"], "left_anti")
-        if groups is not None:
-            open_members = open_members.join(groups, "cls", "left").withColumn("component", F.coalesce("_group", "cls")).drop("_group")
-        else:
-            open_members = open_members.withColumn("component", F.col("cls"))
 
 
 def near_copy_groups(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -243,11 +231,12 @@ def near_copy_groups(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, simila
     heads = materialise(heads.select(F.col("row").alias("cls"), "fp", "least", "n", "keys"), "heads")
     links = fingerprint_links(heads.select("fp").distinct(), ANCHOR_BITS)
     anchored = components(links, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("_print"))
-    by_print = heads.join(anchored, "fp", "left").select(F.xxhash64(F.lit("anchor"), F.coalesce("_print", "fp")).alias("key"), "cls", "least", "n")
-    by_band = heads.select(F.explode("keys").alias("key"), "cls", "least", "n")
+    by_print = heads.join(anchored, "fp", "left").select(F.xxhash64(F.lit("anchor"), F.coalesce("_print", "fp")).alias("key"), "cls")
+    by_band = heads.select(F.explode("keys").alias("key"), "cls")
     buckets = materialise(by_band.unionByName(by_print), "buckets")
     several = buckets.groupBy("key").count().filter("count > 1").select("key")
-    members = materialise(buckets.join(several, "key", "left_semi"), "shared-buckets")
+    # a text is in many buckets: its min-hashes join those that it shares
+    members = materialise(buckets.join(several, "key", "left_semi").join(heads.select("cls", "least", "n"), "cls"), "shared-buckets")
     groups = None if members.isEmpty() else linked_classes(members, rows.select("row", "text"), shingle_words, similarity)
     if groups is None:
         of_class = classes.select("digest", F.col("best.row").alias("first_row"))

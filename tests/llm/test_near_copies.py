@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from strataline.llm import near_copies, passages
+from strataline.llm import components as link_groups, near_copies, passages
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -207,3 +207,60 @@ def test_replicas_of_few_prints_are_not_one_partition(spark):
 
     prints = spark.range(300).selectExpr("xxhash64(id) as fp").coalesce(1)
     assert simhash.anchor_replicas(prints).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def named_tables(monkeypatch, module):
+    """The (name, columns) of the tables that ``module`` writes from now on."""
+    written, write = [], module.materialise
+
+    def noted(df, name="stage"):
+        written.append((name, df.columns))
+        return write(df, name)
+
+    monkeypatch.setattr(module, "materialise", noted)
+    return written
+
+
+def test_stars_are_settled_without_a_further_round(spark, monkeypatch):
+    written = named_tables(monkeypatch, link_groups)
+    links = [(1, n) for n in range(2, 30)] + [(50, 60), (70, 50), (60, 50), (80, 80), (None, 3)]
+    found = link_groups.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, found)) == [(n, 1) for n in range(1, 30)] + [(50, 50), (60, 50), (70, 50)]
+    assert sum(name == "small-star" for name, _ in written) == 1
+
+
+def test_components_of_paths_and_random_links(spark):
+    rnd = random.Random(5)
+    path = rnd.sample(range(1000, 1060), 60)
+    links = list(zip(path, path[1:])) + [(rnd.randrange(120), rnd.randrange(120)) for _ in range(70)] + [(rnd.randrange(120), 7)]
+    root = {n: n for link in links for n in link if link[0] != link[1]}
+    for a, b in links:
+        if a != b:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+    found = link_groups.components(spark.createDataFrame(links + links[:9], "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, found)) == sorted(root.items())
+
+
+def test_buckets_hold_no_min_hashes_of_texts_that_share_none(spark, monkeypatch):
+    """Each text is in 17 buckets: what is shuffled for all of them is narrow."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(500)}" for _ in range(60)) for _ in range(20)]
+    written = named_tables(monkeypatch, near_copies)
+    assert groups_of(spark, texts + [texts[4] + " end"]) == [*range(20), 4]
+    assert dict(written)["buckets"] == ["key", "cls"]
+
+
+def test_pairs_that_share_too_few_shingles_have_no_passage_grown():
+    import numpy as np
+
+    class Untouched(list):
+        def __iter__(self):
+            raise AssertionError("looked at")
+
+    one, other = np.arange(100, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)
+    hits = [(fn, 0, 20, 99, 0, 20, 99) for fn in (0, 1)]
+    other[:36] = one[:36]
+    assert passages.matched_passages(one, other, Untouched(hits), 46, 0.8, 2) == []
+    other[:50] = one[:50]
+    assert [p[:4] for p in passages.matched_passages(one, other, hits, 46, 0.8, 2)] == [(0, 49, 0, 49)]
