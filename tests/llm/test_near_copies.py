@@ -202,6 +202,24 @@ def test_passages_of_a_chain_of_variants_stay_connected(spark):
     assert set(of) == {0}
 
 
+def test_few_spans_of_edited_copies_are_compared(monkeypatch):
+    """Copies with a word changed in every 25: each hit has many spans that matches outweigh, and all miss the similarity."""
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    words = rnd.integers(0, 2 ** 62, 1500).astype(np.uint64)
+    other = words.copy()
+    other[rnd.permutation(1500)[:60]] += np.uint64(2 ** 40)
+    one, other = (passages.mixed(sum(w[i:i + 1496] * np.uint64(2 * i + 3) for i in range(5)), 0) for w in (words, other))
+    hits = [(k % 4, max(c - 80, 0), c, min(c + 80, 1495), max(c - 80, 0), c, min(c + 80, 1495))
+            for k, c in enumerate(np.flatnonzero(one == other)[::5].tolist())]
+    calls, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    found = passages.matched_passages(one, other, hits, 46, 0.8, 2)
+    assert len(found) == 18 and all(p[4] >= 0.8 for p in found)
+    assert len(calls) <= 500  # 78,272 with every span compared
+
+
 def test_replicas_of_few_prints_are_not_one_partition(spark):
     from strataline.llm import simhash
 
