@@ -202,6 +202,27 @@ def test_passages_of_a_chain_of_variants_stay_connected(spark):
     assert set(of) == {0}
 
 
+def test_passages_with_keys_of_a_small_and_a_large_group_are_compared(spark, monkeypatch):
+    """Two texts share one key with each other and one with 18 more; beside the place of that one all shingles differ."""
+    rnd = random.Random(41)
+    fresh = lambda n: [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    one, c = fresh(600), 300
+    two = list(one)
+    for place in [*range(c - 1, c - 27, -5), *range(c + 5, c + 30, 5)]:
+        two[place] = "changed" + str(place)
+    texts = [" ".join(x) for x in [fresh(100), one, two, *(fresh(100) for _ in range(17))]]
+
+    def windows(rows, *_):
+        doc = {r["text"]: r["doc"] for r in rows.collect()}
+        found = [(100, doc[t], 0, 0, 50, 250) for t in texts[1:3]]
+        found += [(200, doc[t], 1, 0, c if t in texts[1:3] else 0, 595 if t in texts[1:3] else 95) for t in texts]
+        return spark.createDataFrame(found, "key long, doc long, fn int, l int, c int, r int")
+
+    monkeypatch.setattr(passages, "text_windows", windows)
+    found = {(r["doc_id"], r["other_id"], r["start"], r["stop"], r["n_hashes"]) for r in passages_of(spark, list(enumerate(texts)))}
+    assert found == {(2, 1, 0, 600, 2), (1, 2, 0, 600, 2)}
+
+
 def test_few_spans_of_edited_copies_are_compared(monkeypatch):
     """Copies with a word changed in every 25: each hit has many spans that matches outweigh, and all miss the similarity."""
     import numpy as np
